@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_quality": "op4_quality",
     "op5_tokens": "op5_tokens",
     "op7_merkle": "op7_merkle",
+    "op8_neardup": "op8_neardup",
     "op9_decontam": "op9_decontam",
     "op10_html": "op10_html",
 }
