@@ -3,7 +3,7 @@
 Two generative models of hashed n-grams are fitted: the target (texts labelled good) and
 the raw corpus (every text).  Tokens are separated by white space; the n-grams are one
 and two words (A-Z folded) and one and two word shapes (runs of lower case, upper case,
-digits, and each other sign).  A text's log weight is the sum of log(target / raw) over
+digits, and each other sign; a word said twice running is one too).  A text's log weight is the sum of log(target / raw) over
 its n-grams; its score is that sum over (tokens + PRIOR), so that long texts do not win by
 length and very short ones stay near neutral.  Adding Gumbel noise to score / TEMPERATURE
 and taking the k largest keys draws k texts without replacement in proportion to their
@@ -32,8 +32,9 @@ SIZE = FAMILIES << BITS
 #: The models' target side is fitted on so many labelled rows at most, those with the
 #: smallest digests of their doc_id.
 FIT_LABELS = 200_000
-#: Counts that the raw model lends to the target model, so that rare n-grams stay neutral.
-LENT = 2000.0
+#: Counts added to what the target model has and to what the raw model would lead one to
+#: expect there, so that rare n-grams stay neutral.
+ADDED = 10.0
 PRIOR, TEMPERATURE, CUT = 18.0, 0.01, -0.22
 SEED = 11
 
@@ -75,6 +76,8 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for f, h in enumerate((word, form)):
         pair = C.mix(h[:-1] * C.U64(0xD6E8FEB86659FD93) + h[1:])[same] if len(h) else h
         for g, (r, x) in enumerate(((row, h), (row[1:][same] if len(h) else row, pair))):
+            if f and g and len(h):  # a word said again is a shape of its own
+                x = C.mix(x + (word[1:] == word[:-1])[same].astype(np.uint64))
             rows.append(r)
             out.append((x >> C.U64(64 - BITS)).astype(np.int64) + ((2 * f + g) << BITS))
     return np.concatenate(rows), np.concatenate(out), np.bincount(row, minlength=n)
@@ -115,8 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     ratio = np.zeros(SIZE)
     for f in range(FAMILIES):
         at = slice(f << BITS, (f + 1) << BITS)
-        p = raw[at] / raw[at].sum()
-        ratio[at] = np.log((target[at] + LENT * p) / (target[at].sum() + LENT) / p)
+        expected = raw[at] / raw[at].sum() * target[at].sum()
+        ratio[at] = np.log((target[at] + ADDED) / (expected + ADDED))
     return ratio
 
 
