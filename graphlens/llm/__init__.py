@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_pii": "op3_pii",
     "op4_quality": "op4_quality",
     "op5_tokens": "op5_tokens",
+    "op6_suffix": "op6_suffix",
     "op7_merkle": "op7_merkle",
     "op8_neardup": "op8_neardup",
     "op9_decontam": "op9_decontam",
