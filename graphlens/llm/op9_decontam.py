@@ -26,6 +26,7 @@ from . import common as C
 WINDOW = 10
 #: Up to so many words are searched for as a literal set; more are joined.
 LITERALS = 100_000
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
@@ -44,31 +45,44 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.groupBy("w").agg(F.collect_set("item_id").alias("items"))
 
 
-def _located(rows: DataFrame, words: Column, tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """rows' `keep` columns with `at`: the places (from 0) of words that are tokens."""
-    n = tokens.limit(LITERALS + 1).count()
-    if n <= LITERALS:
+def _split(text: Column) -> Column:
+    """The words of text, faster than by matching them; the first and the last may be
+    empty, see _lead and _count."""
+    return F.split(F.coalesce(text, F.lit("")), SEPARATORS)
+
+
+def _lead(w: Column) -> Column:
+    return (F.element_at(w, 1) == "").cast("int")
+
+
+def _count(w: Column) -> Column:
+    return F.size(w) - _lead(w) - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+
+
+def _located(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(rid, doc_id, text, n_words, at), at being the places (from 0) of words that are tokens."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    rows = rows.withColumn("_w", _split(F.lower("text")))
+    n_words = _count(F.col("_w")).alias("n_words")
+    if tokens.limit(LITERALS + 1).count() <= LITERALS:
         wanted = [r[0] for r in tokens.collect()]  # LITERALS at most
-        # The words are made once: the inner select would else be folded into each use.
-        rows = rows.withColumn("_w", words)
         at = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
-        return rows.select(*keep, F.size("_w").alias("n_words"), at.alias("at"))
-    rows = rows.withColumn("_w", words)
-    places = rows.select("rid", F.posexplode("_w").alias("p", "token")).join(tokens, "token").groupBy("rid").agg(F.sort_array(F.collect_list("p")).alias("at"))
-    return rows.select(*keep, F.size("_w").alias("n_words")).join(places, "rid", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+        return rows.select("rid", "doc_id", "text", n_words, _lead(F.col("_w")).alias("lead"), at.alias("at")).withColumn("at", F.transform("at", lambda i: i - F.col("lead"))).drop("lead")
+    places = rows.select("rid", _lead(F.col("_w")).alias("lead"), F.posexplode("_w").alias("p", "token")).join(tokens, "token")
+    places = places.groupBy("rid").agg(F.sort_array(F.collect_list(F.col("p") - F.col("lead"))).alias("at"))
+    return rows.select("rid", "doc_id", "text", n_words).join(places, "rid", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
 
 
 def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """wins with `token`, the rarest word of the window over all documents, and `place`."""
     vocabulary = wins.select(F.explode("w").alias("token")).select(F.lower("token").alias("token")).distinct()
-    n = vocabulary.limit(LITERALS + 1).count()
-    words = _words(F.lower("text"))
-    if n <= LITERALS:
+    words = _split(F.lower("text"))
+    if vocabulary.limit(LITERALS + 1).count() <= LITERALS:
         wanted = [r[0] for r in vocabulary.collect()]
         seen = docs.select(F.explode(F.filter(words, lambda w: w.isin(wanted))).alias("token"))
     else:
         seen = docs.select(F.explode(words).alias("token")).join(vocabulary, "token", "left_semi")
-    counts = C.small(seen.groupBy("token").agg(F.count("*").alias("n")))
+    counts = C.small(C.materialize(seen.groupBy("token").agg(F.count("*").alias("n")), "rarity"))
     each = wins.select("w", "items", F.posexplode("w").alias("place", "word")).withColumn("token", F.lower("word")).join(counts, "token", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r")
     return each.groupBy("w", "items").agg(rarest).select("w", "items", F.col("r.word").alias("token"), F.col("r.place").alias("place"))
@@ -79,8 +93,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     (start, length) of each occurrence of a window in words, items the sorted item_ids."""
     wins = C.materialize(prefixes(docs, windows(benchmark, size)), "windows")
     tokens = wins.select(F.lower("token").alias("token")).distinct()
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
-    rows = _located(rows, _words(F.lower("text")), tokens, ["rid", "doc_id", "text"])
+    rows = _located(docs, tokens)
     exact = F.when(F.size("at") > 0, exact_words(F.col("text")))
     rows = rows.select("rid", "doc_id", "n_words", "at", exact.alias("ew"))
     low = lambda p: F.greatest(p - (size - 1), F.lit(0))
