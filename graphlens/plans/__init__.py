@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import code, graph, relational
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in (graph, relational, code) for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for m in (graph, relational, code) for k, (_, sql) in m.QUERIES.items() if sql}
