@@ -52,7 +52,8 @@ def _edge(source: Column, target: Column, kind: str | Column, confidence: int |
 
 def _emitted(rows: DataFrame, edge: Column) -> DataFrame:
     """Edges of the rows for which `edge` is not null."""
-    rows = rows.select(edge.alias("e")).filter("e is not null and e.target is not null and e.source is not null")
+    # Through explode, so that the filter does not repeat the whole rule.
+    rows = rows.select(F.explode(F.array(edge)).alias("e")).filter("e is not null and e.target is not null and e.source is not null")
     return rows.select(F.concat(F.lit("lh:"), "e.source").alias("source_node_id"), F.col("e.kind").alias("kind"), F.concat(F.lit("lh:"), "e.target").alias("target_node_id"), F.lit(PROVENANCE).alias("provenance"), F.col("e.confidence").alias("confidence")).distinct()
 
 
