@@ -68,9 +68,12 @@ def _located(docs: DataFrame, tokens: DataFrame) -> DataFrame:
         wanted = [r[0] for r in tokens.collect()]  # LITERALS at most
         at = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
         return rows.select("rid", "doc_id", "text", n_words, _lead(F.col("_w")).alias("lead"), at.alias("at")).withColumn("at", F.transform("at", lambda i: i - F.col("lead"))).drop("lead")
-    places = rows.select("rid", _lead(F.col("_w")).alias("lead"), F.posexplode("_w").alias("p", "token")).join(tokens, "token")
-    places = places.groupBy("rid").agg(F.sort_array(F.collect_list(F.col("p") - F.col("lead"))).alias("at"))
-    return rows.select("rid", "doc_id", "text", n_words).join(places, "rid", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    # Places depend on the text alone, so its digest joins them, not a row number.
+    rows = rows.withColumn("x1", F.xxhash64("text")).withColumn("x2", F.xxhash64("text", F.lit(1)))
+    places = rows.select("x1", "x2", _lead(F.col("_w")).alias("lead"), F.posexplode("_w").alias("p", "token")).join(tokens, "token")
+    places = places.groupBy("x1", "x2").agg(F.sort_array(F.collect_set(F.col("p") - F.col("lead"))).alias("at"))
+    rows = rows.select("rid", "doc_id", "text", n_words, "x1", "x2").join(places, ["x1", "x2"], "left").drop("x1", "x2")
+    return rows.withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
 
 
 def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
