@@ -569,6 +569,9 @@ class Reader:
         if before.text == "?" or before.text == ")":
             j = t.pair.get(i - 1, i - 1) if before.text == ")" else i - 2
             return not self.ternary(j)
+        if before.text in ("}", "]"):  # a pattern with a type
+            j = t.pair.get(i - 1, i - 1)
+            return t.text(j - 1) in ("(", ",", "const", "let", "var") and not self.ternary(j)
         if before.kind != "id" or before.text in ("default", "case") or t.text(i - 2) == "case":
             return False
         if t.owner[i] >= 0 and t.owner[i] not in self.classes and self.in_object(i):
