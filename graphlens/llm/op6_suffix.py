@@ -368,11 +368,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     C.tune(docs.sparkSession)
     keyed = _keyed(docs)
     found = C.materialize(_runs_of(keyed), "runs")
-    bodies = C.materialize(found.groupBy(*RUN).agg(F.count("*").alias("n")), "bodies")
+    # Equal runs are counted before they are shuffled; any one of them stands for all.
+    bodies = C.materialize(found.groupBy(*RUN).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "a"))), "bodies")
     whole = found.join(bodies.filter("n > 1").select(*RUN), RUN)
     whole = whole.select("k1", "k2", (F.col("a") - F.col("ds")).alias("start"), (F.col("a") - F.col("de") + LENGTH).alias("end"))
     several = bodies.groupBy("class").agg(F.count("*").alias("m")).filter("m > 1").select("class")
-    need = found.join(bodies.join(several, "class"), RUN).dropDuplicates(RUN)
+    need = bodies.join(several, "class")
     lists = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "ds", "de", "class", (F.col("n") == 1).alias("alone"))).alias("found"))
     texts = keyed.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     units = C.materialize(_units_of(texts), "units")
