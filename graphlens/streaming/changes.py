@@ -27,7 +27,9 @@ def debounced_stream(events: DataFrame, gap: str = "100 milliseconds", delay: st
     change events: all paths share one session, which ends `gap` after its last event; the
     last event of a path counts.  Events later than `delay` are dropped, an extension over
     arrival order that makes replays give the same batches."""
-    sessions = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("ts", "seq", "path", "kind")).alias("events"))
+    # Streams have no global sessions: the second key is the same for all events.
+    events = events.filter("path is not null").withColumn("none", F.col("path") == "")
+    sessions = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "none").agg(F.collect_list(F.struct("ts", "seq", "path", "kind")).alias("events"))
     ordered = F.array_sort("events")
     # Later events overwrite earlier ones of their path.
     last = F.map_from_entries(F.transform(F.filter(F.transform(ordered, lambda e, i: F.struct(e["path"].alias("path"), e["kind"].alias("kind"), i.alias("i"))), lambda e: ~F.exists(F.slice(ordered, e["i"] + 2, F.size(ordered)), lambda l: l["path"] == e["path"])), lambda e: F.struct(e["path"], e["kind"])))
