@@ -147,4 +147,5 @@ def resample(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+    """The sample: the documents that the classifier keeps, with their weights."""
+    return resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")).filter("kept").drop("kept")
