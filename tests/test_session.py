@@ -282,3 +282,22 @@ def test_own_languages(spark, monkeypatch):
     extract.register_language("toy", toy)
     out = extract.extracted(spark.createDataFrame([("a", "toy", b"h", b"hello")], "path string, language string, content_hash binary, content binary"))
     assert extract.nodes(out).first().name == "hello"
+
+
+def test_lines_and_markdown(session):
+    import json
+
+    from graphlens import render, rpc
+
+    helper = session.find_symbol("helper").first().node_id
+    ask = lambda method, **params: json.dumps({"id": 1, "method": method, "params": params})
+    lines = ["{", "[]", "", ask("nothing"), ask("search", name="helper", mode="odd"), ask("search", oops=1), ask("find_symbol", name="helper"), ask("node", node_id=helper)]
+    replies = [json.loads(x) for x in rpc.serve(session, lines)]
+    assert [r.get("error", {}).get("code") for r in replies] == [rpc.PARSE, rpc.INVALID_REQUEST, rpc.NO_METHOD, rpc.INVALID_PARAMS, rpc.INVALID_PARAMS, None, None]
+    assert replies[-2]["result"][0]["node_id"] == helper and replies[-1]["result"][0]["content_hash"] in helper
+    texts = {}
+    for method, params in (("search", {"name": "help"}), ("callers_of", {"node_id": helper}), ("impact", {"node_id": helper}), ("nodes_in_file", {"path": "pkg/app.py"}), ("files", {}), ("node", {"node_id": helper}), ("context", {"name": "Page"}), ("explore", {"node_ids": [helper, "x:1"]}), ("trace", {"source": helper, "target": helper}), ("status", {}), ("node", {"node_id": "nobody"})):
+        texts[method] = rpc.handle(session, ask(method, format="markdown", **params))["result"]
+    assert "**helper** (function)" in texts["search"] and "Callers of" in texts["callers_of"] and "Not found: `x:1`" in texts["explore"]
+    assert texts["trace"].startswith("## 0 steps") and texts["node"] == "No node `nobody`." and "| files |" in texts["status"]
+    assert render.render("trace", []) == "No path." and render.plural(1, "match", "matches") == "1 match" and render.plural(2000, "file") == "2,000 files"
