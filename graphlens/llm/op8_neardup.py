@@ -1,7 +1,9 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A text's shingles (five words, A-Z folded; a shorter text is one shingle) weigh their
-frequency in the text times the mean inverse document frequency of their words.  SAMPLES
+frequency in the text times the mean weight of their words: half plus half of the word's
+inverse document frequency over the largest one (the augmented form, which keeps words
+that a large group of copies shares from counting for nothing).  SAMPLES
 consistent weighted samples per text (ICWS: the same shingle at the same weight draws
 the same numbers in every text) agree between two texts with the probability of their
 weighted Jaccard similarity.  Texts that agree in all ROWS samples of a band share a
@@ -41,17 +43,24 @@ BLOCK = 1000
 #: Words in fewer documents than this share get its idf; it bounds the broadcast table
 #: at (mean distinct words of a document) / MIN_SHARE rows for a corpus of any size.
 MIN_SHARE, LEXICON_LIMIT = 0.0005, 8_000_000
-SCALE = 256.0
+SCALE = 4096.0
+
+
+def augmented(n, total: int) -> np.ndarray:
+    """Weight of words in n of total documents, in whole units of 1 / SCALE."""
+    least = max(1.0, MIN_SHARE * total)
+    most = 1 + log(max(total, 1) / least)
+    idf = 1 + np.log(max(total, 1) / np.maximum(n, least))
+    return np.round(SCALE * (0.5 + 0.5 * idf / most)).astype(np.int64)
 
 
 class Weights:
-    """Inverse document frequencies of words, in whole units of 1 / SCALE."""
+    """Weights of words; those not in the table are as rare as can be."""
 
     def __init__(self, terms: np.ndarray, n: np.ndarray, total: int):
         self.terms = terms
-        least = max(1.0, MIN_SHARE * total)
-        self.idf = np.round(SCALE * (1 + np.log(max(total, 1) / np.maximum(n, least)))).astype(np.int64)
-        self.rare = round(SCALE * (1 + log(max(total, 1) / least)))
+        self.idf = augmented(n, total)
+        self.rare = int(SCALE)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.terms):

@@ -33,7 +33,8 @@ def plain_classes(rows, total=None):
     n = len(rows)
     df = Counter(w for _, t, _ in rows for w in set(words(t)))
     least = max(1.0, op.MIN_SHARE * n)
-    idf = lambda w: round(op.SCALE * (1 + np.log(n / max(df[w], least)))) if df[w] >= 2 else round(op.SCALE * (1 + np.log(n / least)))
+    most = 1 + np.log(max(n, 1) / least)
+    idf = lambda w: round(op.SCALE * (0.5 + 0.5 * (1 + np.log(n / max(df[w], least))) / most)) if df[w] >= 2 else op.SCALE
     sets = []
     for _, t, _ in rows:
         ws, c = words(t), Counter()
