@@ -41,6 +41,8 @@ _BOX = frozenset("article aside blockquote body details dialog div dl fieldset f
 #: What containers say: log-odds of content, in hundredths.
 _TAG_COST = {"article": 250, "main": 200, "nav": -600, "footer": -500, "aside": -500, "form": -500, "menu": -500, "dialog": -500, "header": -150, "fieldset": -300, "title": -900}
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|side-?bar|widget|footer|foot|masthead|header|cookies?|consent|notice|alert|gdpr|newsletter|subscri\w*|sign-?up|login|share|sharing|social|related|recommend\w*|popular|trending|comments?|commentlist|replies|reply|disqus|respond|pagination|pager|tags|popup|modal|overlay|toolbar|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
+#: Articles of their own that are none of the page: comments, adverts, teasers.
+_OTHER_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|reply|replies|respond|ads?|advert\w*|sponsor\w*|promo\w*|related|teaser|widget|recommend\w*)(?:$|[\s_-])", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"))
 ADJACENT, SAME_BOX = 40, 120
@@ -60,8 +62,12 @@ def _name_cost(tag: str, attrs: str) -> int:
     if attrs:
         for m in _ATTR.finditer(attrs):
             name = m[1] or m[2] or m[3] or ""
-            if name.lower() in _BAD_ROLE or _BAD_NAME.search(name):
-                cost -= 500 if tag not in ("article", "main", "body", "html") else 0
+            if tag in ("article", "main"):
+                cost -= 900 if _OTHER_NAME.search(name) else 0
+            elif tag in ("body", "html"):
+                continue
+            elif name.lower() in _BAD_ROLE or _BAD_NAME.search(name):
+                cost -= 500
             elif _GOOD_NAME.search(name):
                 cost += 100
     return cost

@@ -1,14 +1,15 @@
 """I-Match document fingerprints.
 
 Terms (words, A-Z folded) whose inverse document frequency lies in a band form the
-lexicon.  A text's distinct lexicon terms are sorted, and hashed once for each of
-several randomised lexicon subsets: SEEDS random orders of the lexicon, each cut at
-RATES shares, so that short and long texts both have subsets of a few terms.  The
-fingerprint lists the subset hashes; likeness is the share of equal ones among those
-that are not empty in both.
+lexicon.  A text's distinct lexicon terms are sorted, and hashed for the whole lexicon
+and for several randomised subsets of it: SEEDS random orders of the lexicon, each cut
+at RATES shares (a quarter, an eighth, ...), so that short and long texts both have
+subsets of a few terms.  The fingerprint lists all hashes.  Likeness is the share of
+orders in which two texts agree on the narrowest cut that leaves either a term; without
+such an order, whether they agree on the whole lexicon.
 
 Defined results: null text is the empty text; an empty text, or one without words, has
-only empty subsets and the fingerprint of dashes; a text without any lexicon term uses
+the fingerprint of dashes, and likeness 1 to its kind; a text without any lexicon term uses
 all its distinct terms; repeated rows each get a row; rows with equal doc_id are ordered
 by text, null doc_id comes last; other columns are ignored; an empty table gives no row.
 """
@@ -29,8 +30,8 @@ from . import common as C
 #: however large the corpus, which bounds what is broadcast.
 MIN_SHARE, MAX_SHARE = 0.001, 0.5
 LEXICON_LIMIT = 8_000_000
-SEEDS, RATES = 6, 8
-SUBSETS = SEEDS * RATES
+SEEDS, RATES = 10, 8
+SUBSETS = 1 + SEEDS * RATES
 EMPTY = "----"
 
 
@@ -41,6 +42,16 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     return C.collect_terms(counts.filter(F.col("n") <= max(2.0, max_share * total)), LEXICON_LIMIT)[0]
 
 
+def _put(out: np.ndarray, column: int, row: np.ndarray, value: np.ndarray) -> None:
+    """Into a column, the hash of each row's values in their order."""
+    if not len(row):
+        return
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    total = np.add.reduceat(value * C.powers(int(place.max()) + 1)[0][place], first)
+    out[row[first], column] = (C.mix(total) >> C.U64(48)).astype(np.int32)
+
+
 def fingerprint_codes(data: np.ndarray, offs: np.ndarray, lex: np.ndarray) -> np.ndarray:
     """(texts, SUBSETS) of 16-bit subset hashes, -1 for an empty subset."""
     n = len(offs) - 1
@@ -51,18 +62,17 @@ def fingerprint_codes(data: np.ndarray, offs: np.ndarray, lex: np.ndarray) -> np
     has = np.bincount(row[known], minlength=n) > 0
     use = known | ~has[row]
     row, term = row[use], term[use]
+    value = C.seeded(term, 7)
+    _put(out, 0, row, value)
     for s in range(SEEDS):
         u = C.seeded(term, 101 + s)
-        picked_row, picked, value = row, u, C.seeded(term, 7)
+        picked_row, picked, picked_value = row, u, value
         for level in range(RATES):
-            keep = picked < C.U64(1 << (63 - level))
-            picked_row, picked, value = picked_row[keep], picked[keep], value[keep]
+            keep = picked < C.U64(1 << (62 - level))
+            picked_row, picked, picked_value = picked_row[keep], picked[keep], picked_value[keep]
             if not len(picked_row):
                 break
-            first = np.flatnonzero(np.r_[True, picked_row[1:] != picked_row[:-1]])
-            place = np.arange(len(picked_row)) - np.repeat(first, np.diff(np.r_[first, len(picked_row)]))
-            total = np.add.reduceat(value * C.powers(int(place.max()) + 1)[0][place], first)
-            out[picked_row[first], s * RATES + level] = (C.mix(total) >> C.U64(48)).astype(np.int32)
+            _put(out, 1 + s * RATES + level, picked_row, picked_value)
     return out
 
 
@@ -71,11 +81,14 @@ def as_text(codes: np.ndarray) -> list[str]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal subset hashes among those not empty in both; 1 if all are."""
-    some = (a >= 0) | (b >= 0)
-    same = (some & (a == b)).sum(1)
-    n = some.sum(1)
-    return np.where(n == 0, 1.0, same / np.maximum(n, 1))
+    """Share of orders with equal narrowest cuts, see above."""
+    x, y = (c[:, 1:].reshape(len(c), SEEDS, RATES) for c in (a, b))
+    some = (x >= 0) | (y >= 0)
+    deepest = (RATES - 1 - np.argmax(some[:, :, ::-1], 2))[:, :, None]
+    same = (np.take_along_axis(x, deepest, 2) == np.take_along_axis(y, deepest, 2))[:, :, 0]
+    counted = some.any(2)
+    n = counted.sum(1)
+    return np.where(n == 0, a[:, 0] == b[:, 0], (same & counted).sum(1) / np.maximum(n, 1))
 
 
 def fingerprints(docs: DataFrame, lex: np.ndarray) -> DataFrame:

@@ -36,6 +36,11 @@ def test_a_page():
     ]
 
 
+def test_comments_as_articles():
+    page = "<body><article class='post'><h1>A title of it</h1><p>The text of the article itself, in a sentence.</p></article><section id='comments'><article class='comment-body'><p>" + "A long comment of a reader goes on and on. " * 8 + "</p></article></section></body>"
+    assert op.extract(page) == "A title of it\n\nThe text of the article itself, in a sentence."
+
+
 def cost(scores, edges, side):
     return sum(max(0, x) if not s else max(0, -x) for x, s in zip(scores, side, strict=True)) + sum(c for u, v, c in edges if side[u] != side[v])
 
