@@ -16,10 +16,10 @@ def latest(rows: DataFrame, key: str, version: Column | str, arrival: Column | s
 def manifest_diff(scanned: DataFrame, active: DataFrame) -> DataFrame:
     """(path, state) of paths that are dirty (hash or size differ, or an old generation),
     missing from active, or deleted; a changed mtime alone is no change."""
-    newest = active.agg(F.max("generation").alias("newest"))
-    a = active.select(F.col("path").alias("ap"), F.col("content_hash").alias("ah"), F.col("size").alias("asize"), "generation").join(F.broadcast(newest))  # one row
+    newest = active.agg(F.max("generation")).first()[0]
+    a = active.select(F.col("path").alias("ap"), F.col("content_hash").alias("ah"), F.col("size").alias("asize"), "generation")
     rows = scanned.select("path", "content_hash", "size").join(a, F.col("path") == F.col("ap"), "full_outer")
-    dirty = ~F.col("content_hash").eqNullSafe(F.col("ah")) | ~F.col("size").eqNullSafe(F.col("asize")) | (F.col("generation") < F.col("newest"))
+    dirty = ~F.col("content_hash").eqNullSafe(F.col("ah")) | ~F.col("size").eqNullSafe(F.col("asize")) | (F.col("generation") < F.lit(newest))
     state = F.when(F.col("ap").isNull(), "missing").when(F.col("path").isNull(), "deleted").when(dirty, "dirty")
     return rows.select(F.coalesce("path", "ap").alias("path"), state.alias("state")).filter("state is not null")
 
@@ -91,8 +91,8 @@ def enclosing(points: DataFrame, containers: DataFrame, by: str = "path") -> Dat
     block = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k)).cast("long")
     c = containers.select(F.col(by).alias("c_by"), "container_id", "c_start", "c_end", "c_order", level.alias("level"))
     c = c.withColumn("block", F.explode(F.sequence(block(F.col("c_start"), F.col("level")), block(F.col("c_end"), F.col("level")))))
-    levels = c.select("level").distinct()  # at most 63 rows
-    p = points.select(by, "point_id", "p_start", "p_end").join(F.broadcast(levels))
+    levels = sorted(r.level for r in c.select("level").distinct().collect() if r.level is not None)  # at most 63
+    p = points.select(by, "point_id", "p_start", "p_end", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
     p = p.withColumn("block", block(F.col("p_start"), F.col("level")))
     hit = p.alias("p").join(c.alias("c"), (F.col(f"p.{by}") == F.col("c.c_by")) & (F.col("p.level") == F.col("c.level")) & (F.col("p.block") == F.col("c.block")))
     inside = (F.col("c_start") <= F.col("p_start")) & (F.col("c_end") >= F.col("p_end")) & ((F.col("c_start") < F.col("p_start")) | (F.col("c_end") > F.col("p_end")))

@@ -95,6 +95,12 @@ def symbol_table(nodes: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+def unique(symbols: DataFrame) -> DataFrame:
+    """(family, key, node_id) of keys that name exactly one definition."""
+    counted = symbols.groupBy("family", "key").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
+    return counted.filter("n = 1").drop("n")
+
+
 def js_resolved(module: Column, path: Column, project: Project) -> Column:
     """Path of a module without extension; null for packages from outside the tree."""
     relative = module.isin(".", "..") | F.startswith(module, F.lit("./")) | F.startswith(module, F.lit("../"))

@@ -85,10 +85,14 @@ def kind_counts(nodes: DataFrame, path: str | None = None) -> DataFrame:
 def status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(files, nodes, symbols, call_edges): a file has a node; a symbol is a distinct name
     or qualified name with its kind; call edges are distinct pairs."""
-    a = nodes.agg(F.countDistinct("path").alias("files"), F.countDistinct("node_id").alias("nodes"))
-    b = symbol_keys(nodes).select("key", "kind").distinct().agg(F.count("*").alias("symbols"))
-    c = edges.filter(F.col("kind").isin(*CALL_KINDS)).select("source_node_id", "target_node_id").distinct().agg(F.count("*").alias("call_edges"))
-    return a.join(b).join(c)  # one row each
+    calls = edges.filter(F.col("kind").isin(*CALL_KINDS)).select("source_node_id", "target_node_id").distinct()
+    counts = [("files", nodes.select("path").distinct()), ("nodes", nodes.select("node_id").distinct()), ("symbols", symbol_keys(nodes).select("key", "kind").distinct()), ("call_edges", calls)]
+    names = [name for name, _ in counts]
+    rows = [df.agg(F.count("*").alias("n")).select(*(F.col("n").alias(x) if x == name else F.lit(None).cast("long").alias(x) for x in names)) for name, df in counts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.agg(*(F.max(x).alias(x) for x in names))
 
 
 def members(nodes: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Each is a frontier loop: one round is one join of the frontier with the edges, its
 result is written to the shared folder, and the rounds end when nothing new is found.
 The edges are filtered by kind before the loop.  A frontier is broadcast only while it
-is small.
+is small: it is read from the files of the last round, whose size is known.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ def reach(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] | None = None
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = steps.join(runtime.small(frontier), F.col("here") == F.col("node_id")).select(F.col("there").alias("node_id")).distinct()
+        # The frontier was written, so its size is known and a small one is broadcast.
+        new = steps.join(frontier, F.col("here") == F.col("node_id")).select(F.col("there").alias("node_id")).distinct()
         if found:
             new = new.join(reduce(DataFrame.unionByName, found).select("node_id"), "node_id", "left_anti")
         new = runtime.written(new.withColumn("depth", F.lit(depth)), f"round{depth}")
@@ -47,7 +48,7 @@ def reach(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] | None = None
         found.append(new)
         if len(found) > COMPACT:
             found = [runtime.written(reduce(DataFrame.unionByName, found), "found")]
-        frontier = new
+        frontier = new.select("node_id")
     if not found:
         return seeds.select("node_id", F.lit(0).alias("depth")).limit(0)
     return reduce(DataFrame.unionByName, found)
@@ -89,7 +90,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, kinds: Sequence[str] |
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = steps.join(runtime.small(frontier), F.col("here") == F.col("node_id")).groupBy("there").agg(F.min("path").alias("path"))
+        new = steps.join(frontier, F.col("here") == F.col("node_id")).groupBy("there").agg(F.min("path").alias("path"))
         new = new.select(F.col("there").alias("node_id"), F.concat("path", F.array("there")).alias("path"))
         new = runtime.written(new.join(reduce(DataFrame.unionByName, found), "node_id", "left_anti"), f"path{depth}")
         hit = new.filter(F.col("node_id") == end)

@@ -60,6 +60,10 @@ def _symbol_keys(spark, sf):
     return resolve.symbol_table(_defs(spark, sf))
 
 
+def _unique_keys(spark, sf):
+    return resolve.unique(_symbol_keys(spark, sf))
+
+
 def _refs(spark, sf):
     """Order lines as references to parts, by the keys of their languages."""
     line = read(spark, sf, "lineitem")
@@ -147,6 +151,7 @@ def _numbered(spark, sf):
 QUERIES = {
     "lang_detect": (_lang, f"WITH d AS (SELECT 'src/f' || doc_id || '.' || {_pick_sql(_EXT, 'doc_id')} AS path FROM documents) SELECT path, {_lang_case(False)} AS language, {_lang_case(True)} AS language_wide FROM d"),
     "symbol_keys": (_symbol_keys, f"WITH {_DEFS} SELECT family, key, node_id FROM s"),
+    "unique_symbols": (_unique_keys, f"WITH {_DEFS} SELECT family, key, min(node_id) AS node_id FROM s GROUP BY family, key HAVING count(*) = 1"),
     "resolve_edges": (_resolved, _RESOLVED),
     "edge_kind_map": (_edge_kinds, _EDGE_KINDS),
     "framework_rules": (_framework, _FRAMEWORK),

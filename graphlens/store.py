@@ -60,6 +60,19 @@ class Store:
 
     # Tables ----------------------------------------------------------------------------
 
+    def relations(self) -> DataFrame:
+        """(relation, columns) of the store's tables and views."""
+        rows = [(n, ", ".join(k.names)) for n, k in TABLES.items()] + [("content_file", ", ".join(schema.CONTENT_FILE.names)), ("symbol", ", ".join(schema.SYMBOL.names))]
+        return self.spark.createDataFrame(sorted(rows), "relation string, columns string")
+
+    def schema_version(self) -> int:
+        return schema.SCHEMA_VERSION
+
+    def active_file_hash(self, path: str) -> bytes | None:
+        """Stored content hash of a path that is not deleted."""
+        row = self.files().filter(F.col("path") == path).select("content_hash").first()
+        return None if row is None else bytes(row.content_hash)
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{self.version()}/{table}")
 

@@ -56,3 +56,23 @@ def apply_stream(events: DataFrame, apply: Callable[[list[str]], object], checkp
             apply(paths[i : i + max_paths])
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Resident bytes of the driver's Python above which freshness() warns.
+MEMORY_WARNING = 1 << 30
+
+
+def freshness(query: StreamingQuery | None) -> dict:
+    """How far a change stream is behind: catching_up, pending_paths (rows of the last
+    batch while it runs), rss_bytes and warnings."""
+    import resource
+
+    rss = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+    status = query.status if query is not None and query.isActive else None
+    running = bool(status and (status["isTriggerActive"] or status["isDataAvailable"]))
+    progress = query.lastProgress if query is not None else None
+    pending = int(progress["numInputRows"]) if running and progress else 0
+    warnings = [f"resident memory is {rss / 2**20:.0f} MiB"] if rss > MEMORY_WARNING else []
+    if query is not None and query.exception() is not None:
+        warnings.append(str(query.exception())[:500])
+    return {"catching_up": running, "pending_paths": pending, "rss_bytes": rss, "warnings": warnings}

@@ -301,3 +301,38 @@ def test_lines_and_markdown(session):
     assert "**helper** (function)" in texts["search"] and "Callers of" in texts["callers_of"] and "Not found: `x:1`" in texts["explore"]
     assert texts["trace"].startswith("## 0 steps") and texts["node"] == "No node `nobody`." and "| files |" in texts["status"]
     assert render.render("trace", []) == "No path." and render.plural(1, "match", "matches") == "1 match" and render.plural(2000, "file") == "2,000 files"
+
+
+def test_stream_of_a_tree(spark, tmp_path):
+    from graphlens.streaming import TreeChanges, freshness
+
+    root = tmp_path / "tree"
+    put(root, "a.py", "x = 1\n")
+    put(root, "d/b.py", "y = 1\n")
+    put(root, ".git/c", "no")
+    spark.dataSource.register(TreeChanges)
+    events = spark.readStream.format("tree_changes").option("path", str(root)).option("state", str(tmp_path / "state")).load()
+    seen = []
+    q = events.writeStream.foreachBatch(lambda df, n: seen.append(sorted((r.path, r.kind) for r in df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+    try:
+        q.processAllAvailable()
+        os.remove(root / "a.py")
+        put(root, "d/b.py", "y = 22\n")
+        put(root, "new.py", "z = 1\n")
+        q.processAllAvailable()
+        state = freshness(q)
+    finally:
+        q.stop()
+    got = [x for batch in seen for x in batch]
+    assert got[:2] == [("a.py", "created"), ("d/b.py", "created")]
+    assert set(got[2:]) >= {("a.py", "deleted"), ("d/b.py", "modified"), ("new.py", "created")}
+    assert set(state) == {"catching_up", "pending_paths", "rss_bytes", "warnings"} and freshness(None)["catching_up"] is False
+
+
+def test_store_lookups(session):
+    import hashlib
+
+    with open(os.path.join(session.root, "app.ts"), "rb") as f:
+        assert session.store.active_file_hash("app.ts") == hashlib.sha256(f.read()).digest()
+    assert session.store.active_file_hash("nothing") is None and session.store.schema_version() == 1
+    assert {r.relation for r in session.store.relations().collect()} >= {"active_file", "active_node", "edge", "symbol"}
