@@ -30,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT, SUPPORT, CONFIDENCE, GAIN_BITS = 5, 3, 0.5, 6.0
 #: Up to so many disclosing words are broadcast; beyond, they are joined to documents.
 TERM_LIMIT = 1_000_000
+#: Columns added beside a caller's own ones.
+OWN, KEY = "__graphlens_own", "__graphlens_key"
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -148,18 +150,18 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, object]:
     terms = C.materialize(terms.select("term"), "terms")
     if terms.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT:
         known = np.sort(terms.toArrow().column("term").to_numpy().astype(np.uint64))
-        return docs.withColumn("_own", F.lit(None).cast("array<long>")), spark.sparkContext.broadcast(known)
+        return docs.withColumn(OWN, F.lit(None).cast("array<long>")), spark.sparkContext.broadcast(known)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
             row, _, _, h = C.words(data, offs)
             row, term, _ = C.distinct_terms(row, h)
-            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row)), pa.array(term.astype(np.int64))], names=["_key", "term"])
+            yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row)), pa.array(term.astype(np.int64))], names=[KEY, "term"])
 
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    own = keyed.select("text", "_key").mapInArrow(each, "_key long, term long").distinct().join(terms, "term").groupBy("_key").agg(F.collect_list("term").alias("_own"))
-    keyed = keyed.join(own, "_key", "left").drop("_key")
-    return keyed.withColumn("_own", F.coalesce("_own", F.array().cast("array<long>"))), spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    keyed = docs.withColumn(KEY, F.xxhash64("text"))
+    own = keyed.select("text", KEY).mapInArrow(each, f"{KEY} long, term long").distinct().join(terms, "term").groupBy(KEY).agg(F.collect_list("term").alias(OWN))
+    keyed = keyed.join(own, KEY, "left").drop(KEY)
+    return keyed.withColumn(OWN, F.coalesce(OWN, F.array().cast("array<long>"))), spark.sparkContext.broadcast(np.zeros(0, np.uint64))
 
 
 def _all_spans(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, own: list, known: np.ndarray) -> Iterator[tuple[str, list, list]]:
@@ -208,7 +210,7 @@ def sanitize(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     C.tune(docs.sparkSession)
     columns = docs.columns
     marked, known = _with_terms(docs, disclosing_terms(docs) if terms is None else terms)
-    marked = marked.select(*columns, "_own")
+    marked = marked.select(*(F.col(f"`{c}`") for c in columns), OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
@@ -222,7 +224,7 @@ def sanitize(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
                             parts += [text[done:a], f"[{kind.upper()}]"]
                         done = b
                 out.append(None if null else "".join([*parts, text[done:]]))
-            arrays = [pa.array(out, f.type) if f.name == "text" else rows.column(j) for j, f in enumerate(rows.schema) if f.name != "_own"]
+            arrays = [pa.array(out, f.type) if f.name == "text" else rows.column(j) for j, f in enumerate(rows.schema) if f.name != OWN]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return marked.mapInArrow(run, docs.schema)

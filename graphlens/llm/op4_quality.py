@@ -124,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """The operator's first half: (doc_id, n_tokens, log_weight, score, sample_key) of every text."""
+    """The operator's first half: (doc_id, digest, n_tokens, log_weight, score, sample_key) of every text;
+    digest, the text's xxhash64, tells rows of one doc_id apart."""
     ratio = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +134,9 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             weight = np.round(np.bincount(row, ratio.value[bucket], minlength=rows.num_rows), 6)
             value = np.round(weight / (n + PRIOR), 9)
             noise = C.uniform(rows.column(0).fill_null(-1).to_numpy().astype(np.int64).view(np.uint64), SEED)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(weight), pa.array(value), pa.array(value / TEMPERATURE - np.log(-np.log(noise)))], names=["doc_id", "n_tokens", "log_weight", "score", "sample_key"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), pa.array(weight), pa.array(value), pa.array(value / TEMPERATURE - np.log(-np.log(noise)))], names=["doc_id", "digest", "n_tokens", "log_weight", "score", "sample_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_weight double, score double, sample_key double")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, n_tokens long, log_weight double, score double, sample_key double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -143,9 +144,9 @@ def resample(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     C.tune(docs.sparkSession)
     scored = C.ranked(score(docs, fit(docs, labels)), [F.col("sample_key").desc(), F.col("doc_id").asc_nulls_last()], "scores")
     k = scored.filter(F.col("score") >= cut).count()
-    return scored.select("doc_id", "n_tokens", "log_weight", "score", "sample_key", (F.col("rank") < k).alias("kept"))
+    return scored.select("doc_id", "digest", "n_tokens", "log_weight", "score", "sample_key", (F.col("rank") < k).alias("kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample: the documents that the classifier keeps, with their weights."""
-    return resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")).filter("kept").drop("kept")
+    return resample(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")).filter("kept").drop("kept", "digest")

@@ -304,10 +304,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id (any, if all are null)."""
     named = C.materialize(classes(docs), "classes")
     keep = named.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("k")).agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    keep = keep.select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
+    keep = keep.select(F.col("class_id").alias("__graphlens_id"), F.col("key").alias("__graphlens_key"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("_digest", digest).join(keep, (F.col("_digest") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    rows = docs.withColumn("__graphlens_digest", digest)
+    rows = rows.join(keep, (F.col("__graphlens_digest") == F.col("__graphlens_key")) & F.col("doc_id").eqNullSafe(F.col("__graphlens_id")))
+    return rows.dropDuplicates(["doc_id", "__graphlens_digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,19 +60,19 @@ def _count(w: Column) -> Column:
 
 
 def _located(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(rid, doc_id, text, n_words, at), at being the places (from 0) of words that are tokens."""
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    """(rid, doc_id, text, digest, n_words, at), at being the places (from 0) of words that are tokens."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.withColumn("_w", _split(F.lower("text")))
     n_words = _count(F.col("_w")).alias("n_words")
     if tokens.limit(LITERALS + 1).count() <= LITERALS:
         wanted = [r[0] for r in tokens.collect()]  # LITERALS at most
         at = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
-        return rows.select("rid", "doc_id", "text", n_words, _lead(F.col("_w")).alias("lead"), at.alias("at")).withColumn("at", F.transform("at", lambda i: i - F.col("lead"))).drop("lead")
+        return rows.select("rid", "doc_id", "text", "digest", n_words, _lead(F.col("_w")).alias("lead"), at.alias("at")).withColumn("at", F.transform("at", lambda i: i - F.col("lead"))).drop("lead")
     # Places depend on the text alone, so its digest joins them, not a row number.
-    rows = rows.withColumn("x1", F.xxhash64("text")).withColumn("x2", F.xxhash64("text", F.lit(1)))
-    places = rows.select("x1", "x2", _lead(F.col("_w")).alias("lead"), F.posexplode("_w").alias("p", "token")).join(tokens, "token")
-    places = places.groupBy("x1", "x2").agg(F.sort_array(F.collect_set(F.col("p") - F.col("lead"))).alias("at"))
-    rows = rows.select("rid", "doc_id", "text", n_words, "x1", "x2").join(places, ["x1", "x2"], "left").drop("x1", "x2")
+    rows = rows.withColumn("x2", F.xxhash64("text", F.lit(1)))
+    places = rows.select("digest", "x2", _lead(F.col("_w")).alias("lead"), F.posexplode("_w").alias("p", "token")).join(tokens, "token")
+    places = places.groupBy("digest", "x2").agg(F.sort_array(F.collect_set(F.col("p") - F.col("lead"))).alias("at"))
+    rows = rows.select("rid", "doc_id", "text", "digest", n_words, "x2").join(places, ["digest", "x2"], "left").drop("x2")
     return rows.withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
 
 
@@ -92,22 +92,22 @@ def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The operator: per document (rid, doc_id, n_words, spans, items), spans being the
+    """The operator: per document (rid, doc_id, digest, n_words, spans, items), spans being the
     (start, length) of each occurrence of a window in words, items the sorted item_ids."""
     wins = C.materialize(prefixes(docs, windows(benchmark, size)), "windows")
     tokens = wins.select(F.lower("token").alias("token")).distinct()
     rows = _located(docs, tokens)
     exact = F.when(F.size("at") > 0, exact_words(F.col("text")))
-    rows = rows.select("rid", "doc_id", "n_words", "at", exact.alias("ew"))
+    rows = rows.select("rid", "doc_id", "digest", "n_words", "at", exact.alias("ew"))
     low = lambda p: F.greatest(p - (size - 1), F.lit(0))
     around = F.transform("at", lambda p: F.struct(p.alias("p"), F.element_at("ew", p + 1).alias("token"), low(p).alias("from"), F.slice("ew", low(p) + 1, F.lit(2 * size - 1)).alias("ctx")))
-    rows = rows.select("rid", "doc_id", "n_words", F.explode_outer(around).alias("c")).select("rid", "doc_id", "n_words", "c.*")
+    rows = rows.select("rid", "doc_id", "digest", "n_words", F.explode_outer(around).alias("c")).select("rid", "doc_id", "digest", "n_words", "c.*")
     rows = rows.join(C.small(wins.withColumn("len", F.size("w"))), "token", "left")
     start = F.col("p") - F.col("place")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
     found = fits & (F.slice("ctx", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("len")) == F.col("w"))
-    rows = rows.select("rid", "doc_id", "n_words", F.when(found, F.struct(start.alias("start"), F.col("len").alias("len"))).alias("span"), F.when(found, F.col("items")).alias("items"))
-    rows = rows.groupBy("rid", "doc_id", "n_words").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    rows = rows.select("rid", "doc_id", "digest", "n_words", F.when(found, F.struct(start.alias("start"), F.col("len").alias("len"))).alias("span"), F.when(found, F.col("items")).alias("items"))
+    rows = rows.groupBy("rid", "doc_id", "digest", "n_words").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
     return rows.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
 
 

@@ -23,7 +23,7 @@ def docs(spark, rows, extra=True):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("bucket", "rank", "key", "token", "size", "rid", "k1", "n", "term", "_b", "_part", "target", "kept", "path", "class"):
+        for name in ("bucket", "rank", "key", "token", "size", "rid", "k1", "n", "term", "_b", "_part", "target", "kept", "path", "class", "_id", "_key", "_own", "_digest", "_g", "_s", "rep", "found", "text_", "words", "at"):
             df = df.withColumn(name, F.lit("x"))
     return df
 

@@ -90,3 +90,13 @@ def test_awkward_rows(spark, tmp_path):
     empty = tables(spark, tmp_path / "e", [], [], [])
     assert p.run(spark, empty).collect() == []
     assert op2_mixing and op3_pii and op4_quality and op9_decontam
+
+
+def test_null_ids_are_told_apart(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, f"before {item} after", "a"), (None, "a clean text without an id", "a"), (7, f"x {item}", "a"), (7, "a clean text of the same id", "a")]
+    path = tables(spark, tmp_path / "t", rows, [(1, item)], [(7, 1, 0)])
+    table = spark.read.parquet(f"{path}/documents.parquet")
+    assert sorted(r.text for r in p.decontaminate(spark, table, path).collect()) == ["a clean text of the same id", "a clean text without an id"]
