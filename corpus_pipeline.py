@@ -12,11 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphlens.llm import common as C, op2_mixing, op3_pii, op4_quality, op8_neardup, op9_decontam
 
 
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without those rows (doc_id, digest), digest being the xxhash64 of the text."""
+    gone = C.materialize(rows.select(F.col("doc_id").alias("__graphlens_id"), F.col("digest").alias("__graphlens_digest")).distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__graphlens_id")) & (F.xxhash64("text") == F.col("__graphlens_digest"))
+    return docs.join(C.small(gone), same, "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that importance resampling keeps."""
-    kept = op4_quality.resample(docs, C.read(spark, sf_dir, "labels")).select("doc_id", "kept")
-    bad = kept.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(C.small(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    drawn = op4_quality.resample(docs, C.read(spark, sf_dir, "labels"))
+    return _without(docs, drawn.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept")).filter("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a window of a benchmark item occurs."""
-    found = op9_decontam.hits(docs, C.read(spark, sf_dir, "benchmark")).filter("size(spans) > 0")
-    found = C.materialize(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(C.small(found), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return _without(docs, op9_decontam.hits(docs, C.read(spark, sf_dir, "benchmark")).filter("size(spans) > 0"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
