@@ -94,12 +94,13 @@ END = Token(("end", "", 0, 0))
 
 
 class Tokens:
-    """A token list with the partner of each bracket and the brace each token stands in."""
+    """A token list with the partner of each bracket and the brackets each token stands in."""
 
     def __init__(self, tokens: Iterable[Token], facts: Facts):
         self.all = list(tokens)
         self.pair: dict[int, int] = {}
-        self.owner: list[int] = []
+        self.owner: list[int] = []  # the innermost open brace
+        self.inside: list[int] = []  # the innermost open bracket of any kind
         stack: list[int] = []
         braces: list[int] = []
         close = {")": "(", "]": "[", "}": "{"}
@@ -116,6 +117,7 @@ class Tokens:
                 else:
                     facts.error(f"unexpected {t.text}", t.start, t.end)
             self.owner.append(braces[-1] if braces else -1)
+            self.inside.append(stack[-1] if stack else -1)
             if t.kind == "op" and t.text in "([{" and t.text:
                 stack.append(i)
                 if t.text == "{":

@@ -159,6 +159,7 @@ class Reader:
         self.bound: dict[str, tuple[str, str]] = {}
         self.spaces: dict[str, str] = {}
         self.found: list[tuple] = []
+        self.starts: dict[int, int] = {}
 
     def read(self) -> Facts:
         self.definitions()
@@ -407,18 +408,20 @@ class Reader:
     # Expressions -----------------------------------------------------------------------
 
     def chain_start(self, i: int) -> int:
-        """First token of the member chain that ends at i."""
-        t = self.t
-        while True:
-            if t.text(i) in (")", "]", "}") and i in t.pair:
-                i = t.pair[i]
-                if t[i - 1].kind == "id" and t.text(i - 1) not in KEYWORDS or t.text(i - 1) in (")", "]"):
-                    i -= 1
-                    continue
-            if t.text(i - 1) in (".", "?.") and i > 1:
-                i -= 2
-                continue
-            return i
+        """First token of the member chain that ends at i; found once for each end."""
+        t, way = self.t, []
+        while i not in self.starts:
+            way.append(i)
+            first = t.pair[i] if t.text(i) in (")", "]", "}") and i in t.pair else i
+            if first != i and (t.is_id(first - 1) and t.text(first - 1) not in KEYWORDS or t.text(first - 1) in (")", "]")):
+                i = first - 1
+            elif t.text(first - 1) in (".", "?.") and first > 1:
+                i = first - 2
+            else:
+                self.starts[i] = first
+        for x in way:
+            self.starts[x] = self.starts[i]
+        return self.starts[i]
 
     def bound_name(self, name: str) -> str | None:
         return "#".join(self.bound[name]) if name in self.bound else None
@@ -580,19 +583,10 @@ class Reader:
 
     def in_object(self, i: int) -> bool:
         """Whether the innermost bracket around i is an object literal."""
-        t, j = self.t, i - 1
-        while j >= 0:
-            if t.text(j) in (")", "]", "}") and j in t.pair:
-                j = t.pair[j] - 1
-                continue
-            if t.text(j) in ("(", "["):
-                return False
-            if t.text(j) == "{":
-                return t.text(j - 1) in ("=", "(", ",", ":", "[", "return", "?", "&&", "||", "??", "default", "=>") and t.text(j - 2) not in ("type",) and not (t.text(j - 1) == "=" and t.text(j - 3) == "type")
-            if t.text(j) in ("const", "let", "var"):
-                return False
-            j -= 1
-        return False
+        t, j = self.t, self.t.inside[i]
+        if j < 0 or t.text(j) != "{" or t.text(j - 1) == "=" and t.text(j - 3) == "type":
+            return False
+        return t.text(j - 1) in ("=", "(", ",", ":", "[", "return", "?", "&&", "||", "??", "default")
 
     def ternary(self, i: int) -> bool:
         t, j = self.t, i - 1

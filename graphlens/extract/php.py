@@ -57,6 +57,7 @@ class Reader:
         self.defs: list[tuple[dict, int, int]] = []  # node, name token, last token
         self.body_of: dict[int, str] = {}  # brace of a class -> its kind
         self.found: list[tuple] = []
+        self.starts: dict[int, int] = {}
 
     def space(self, i: int) -> str:
         best = [(b - a, n) for a, b, n in self.spaces if a <= i < b]
@@ -155,7 +156,7 @@ class Reader:
 
     def is_property(self, i: int) -> bool:
         j = self.type_start(i)
-        return self.t.text(j - 1).lower() in _MODIFIERS and not any(a < i < b and self.t.text(a) == "(" for a, b in self.t.pair.items() if a < b and a > self.t.owner[i])
+        return self.t.text(j - 1).lower() in _MODIFIERS and self.t.inside[i] == self.t.owner[i]
 
     def type_start(self, i: int) -> int:
         t = self.t
@@ -236,12 +237,14 @@ class Reader:
         self.variables: dict[tuple[int, str], str] = {}
         for node, i, _ in self.defs:
             if node["kind"] == "property":
-                owner = self.f.enclosing(node["span"]["start_byte"], node["span"]["end_byte"], lambda n: n["kind"] in _TYPES.values())
+                holder = self.class_at(node["span"]["start_byte"], node["span"]["end_byte"])
+                owner = holder["id"] if holder else None
                 name = self.hint(self.type_start(i), i)
                 if owner is not None and name:
                     self.properties[owner, t.text(i)[1:]] = name
             elif node["kind"] in ("method", "function") and t.text(i + 1) == "(":
-                owner = self.f.enclosing(node["span"]["start_byte"], node["span"]["end_byte"], lambda n: n["kind"] in _TYPES.values())
+                holder = self.class_at(node["span"]["start_byte"], node["span"]["end_byte"])
+                owner = holder["id"] if holder else None
                 for a, b in t.split(i + 1):
                     var = next((k for k in range(a, b) if t[k].kind == "var"), None)
                     if var is None:
@@ -255,8 +258,10 @@ class Reader:
                         self.properties[owner, t.text(var)[1:]] = name
 
     def class_at(self, start: int, end: int) -> dict | None:
-        i = self.f.enclosing(start, end, lambda n: n["kind"] in _TYPES.values())
-        return None if i is None else self.f.nodes[i]
+        at = self.f.container(start, end)
+        while at is not None and self.f.nodes[at]["kind"] not in _TYPES.values():
+            at = self.f.nodes[at]["parent"]
+        return None if at is None else self.f.nodes[at]
 
     def receiver_type(self, i: int) -> str | None:
         """The class of the expression that ends at token i, before an arrow."""
@@ -285,20 +290,20 @@ class Reader:
     # Calls -----------------------------------------------------------------------------
 
     def chain_start(self, i: int) -> int:
-        t = self.t
-        while i > 0:
-            if t.text(i) in (")", "]") and i in t.pair:
-                i = t.pair[i]
-                if t[i - 1].kind in ("id", "var") and t.text(i - 1).lower() not in ("return", "echo", "if", "while") or t.text(i - 1) in (")", "]"):
-                    i -= 1
-                    continue
-            if t.text(i - 1) in ("->", "?->", "::"):
-                i -= 2
-                continue
-            if t.text(i - 1).lower() == "new":
-                i -= 1
-            return i
-        return i
+        """First token of the chain of members that ends at i; found once for each end."""
+        t, way = self.t, []
+        while i not in self.starts:
+            way.append(i)
+            first = t.pair[i] if t.text(i) in (")", "]") and i in t.pair else i
+            if first != i and (t[first - 1].kind in ("id", "var") and t.text(first - 1).lower() not in ("return", "echo", "if", "while") or t.text(first - 1) in (")", "]")):
+                i = first - 1
+            elif t.text(first - 1) in ("->", "?->", "::") and first > 1:
+                i = first - 2
+            else:
+                self.starts[i] = first - 1 if t.text(first - 1).lower() == "new" else first
+        for x in way:
+            self.starts[x] = self.starts[i]
+        return self.starts[i]
 
     def references(self) -> None:
         t = self.t
@@ -334,7 +339,8 @@ class Reader:
                 holder = None
             else:
                 brace = self.t[at]
-                holder = self.f.enclosing(brace.start, brace.end, lambda n: n["kind"] in _TYPES.values())
+                owner = self.class_at(brace.start, brace.end)
+                holder = owner["id"] if owner else None
             self.f.ref(kind, name, start, end, qname, None, holder)
         return self.f
 
@@ -357,15 +363,15 @@ class Reader:
             return {"kind": "new", "value": t.text(a + 1).lstrip("\\"), "items": []}
         return {"kind": "other", "value": None, "items": []}
 
-    def scope(self, start: int, end: int) -> str:
-        """Names of the definitions around a call, joined by backslashes."""
-        parts, at = [], self.f.container(start, end)
+    def scope(self, i: int, end: int) -> str:
+        """Names of the definitions around the call that starts at token i, by backslashes."""
+        parts, at = [], self.f.container(self.t[i].start, end)
         while at is not None:
             n = self.f.nodes[at]
             if n["kind"] in ("class", "interface", "trait", "enum", "method", "function"):
                 parts.append(n["name"])
             at = n["parent"]
-        space = next((s for i, s in ((k, self.space(k)) for k, x in enumerate(self.t.all) if x.start >= start)), "")
+        space = self.space(i)
         return "\\".join(([space] if space else []) + parts[::-1])
 
     def arguments(self) -> None:
@@ -390,7 +396,7 @@ class Reader:
                 continue
             else:
                 kind, receiver, first = "none", None, i
-            self.f.calls.append({"receiver_kind": kind, "receiver": receiver, "method": x.text.lstrip("\\"), "scope": self.scope(t[first].start, end), "start": t[first].start, "args": [self.argument(a, b) for a, b in t.split(i + 1)]})
+            self.f.calls.append({"receiver_kind": kind, "receiver": receiver, "method": x.text.lstrip("\\"), "scope": self.scope(first, end), "start": t[first].start, "args": [self.argument(a, b) for a, b in t.split(i + 1)]})
 
 
 def extract(content: bytes, path: str) -> Facts:

@@ -87,7 +87,7 @@ def extract(content: bytes, path: str) -> Facts:
                     facts.node("constant", latin(target.id), None, *at(node))
         stack += [(n, scope, False) for n in reversed(list(ast.iter_child_nodes(node))) if isinstance(n, ast.stmt | ast.ExceptHandler | ast.match_case)]
     facts.nest()
-    text = lambda n: latin(ast.get_source_segment(shown.decode("utf-8", "replace"), n) or "")
+    text = lambda n: shown[slice(*at(n))].decode("latin-1")
     found: list[tuple[int, tuple]] = []
     for node, made in defs:
         if isinstance(node, ast.ClassDef):

@@ -117,6 +117,29 @@ def views(calls: DataFrame) -> DataFrame:
     return calls.filter(test & (kind == "string")).select(value.alias("view"), "scope")
 
 
+def diagnostics(calls: DataFrame) -> DataFrame:
+    """(scope, message) of calls that look like framework calls, but whose arguments do not
+    say what they mean."""
+    kind, receiver, method = F.col("receiver_kind"), F.col("receiver"), F.col("method")
+    k0, _, _ = _arg(0)
+    none, first_class = F.get("args", F.lit(0)).isNull(), F.coalesce(k0 == "class", F.lit(False))
+    says = lambda text: F.concat(method, F.lit(f": {text}"))
+    message = (
+        F.when((kind == "this") & method.isin(*RELATIONS) & none, says("no related model"))
+        .when((kind == "this") & method.isin(*RELATIONS) & ~first_class, says("the related model is not a class constant"))
+        .when((kind == "container") & method.isin(*BINDINGS) & ~first_class, says("the abstract is not a class constant"))
+        .when((kind == "container") & method.isin(*BINDINGS) & _class_arg(1).isNull(), says("the concrete is not a class constant"))
+        .when((kind == "static") & (receiver == "Route") & method.isin(*ROUTE_VERBS) & (F.size("args") < 2), says("too few arguments of a route"))
+        .when((kind == "static") & (receiver == "Route") & method.isin(*ROUTE_VERBS) & _route(0).isNull(), says("the action of a route is not literal"))
+        .when((kind == "static") & (receiver == "Route") & (method == "match") & (F.size("args") < 3), says("too few arguments of a route"))
+        .when((kind == "static") & (receiver == "Route") & (method == "match") & _route(1).isNull(), says("the action of a route is not literal"))
+        .when((kind == "none") & (method == "view") & ~F.coalesce(k0 == "string", F.lit(False)), says("the view is not a string"))
+        .when((kind == "none") & (method == "event") & ~F.coalesce(k0.isin("new", "class", "string"), F.lit(False)), says("the event is not literal"))
+        .when((kind == "none") & method.isin(*JOB_FUNCTIONS) & ~F.coalesce(k0.isin("new", "class"), F.lit(False)), says("the job is not literal"))
+    )
+    return calls.select("scope", F.explode(F.array(message)).alias("message")).filter("message is not null")
+
+
 def view_name(path: Column | str) -> Column:
     """view.a.b of resources/views/a/b.blade.php; null elsewhere."""
     rest = F.regexp_extract(T.col(path), r"(?:^|/)resources/views/(.+)$", 1)

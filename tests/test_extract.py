@@ -302,3 +302,24 @@ def test_table_of_files(spark):
     assert n.select("node_id").first().node_id.split(":")[0] in ("31", "32")
     assert X.refs(out).filter("path = 'b.php' and kind = 'static_call'").count() == 3
     assert X.calls(out).filter(F.col("method") == "view").count() == 1
+
+
+LONG = {
+    "typescript": "const x = {\n" + "".join(f"  k{i}: {{ a: {i}, b: f{i}(1) }},\n" for i in range(8000)) + "};\n",
+    "tsx": "".join(f"export function f{i}(a: number): T{i} {{ return g{i}(a) ? h.x(1) : y; }}\n" for i in range(4000)),
+    "javascript": "a" + ".b(1)" * 20000 + ";" + "foo(" * 500 + ")" * 500,
+    "php": "<?php class A {" + "".join(f" public int $p{i} = 1; public function m{i}(B $b) {{ $b->x()->y(); self::z(); }}" for i in range(3000)) + "} $q" + "->w(1)" * 5000 + ";",
+    "python": "".join(f"@d{i}('x')\nclass C{i}(B{i}):\n    def m(self): return f{i}()\n" for i in range(3000)),
+    "go": "package a\n" + "".join(f"func F{i}(a int) int {{ return b.G{i}(a) + h(1) }}\n" for i in range(8000)),
+    "blade": "".join(f"@section('a{i}') {{{{ $x }}}} <x-b/> @endsection\n" for i in range(4000)),
+}
+
+
+@pytest.mark.parametrize("language", sorted(LONG))
+def test_long_sources(language):
+    import time
+
+    began = time.monotonic()
+    f = X.facts(LONG[language].encode(), "a", language)
+    assert not f.diagnostics and len(f.refs) >= 4000
+    assert time.monotonic() - began < 20

@@ -270,6 +270,22 @@ def test_keys_and_rules(spark):
     assert [tuple(r) for r in framework.views(calls).collect()] == [("home", "s")] and framework.laravel(calls).count() == 0
 
 
+def test_diagnostics_of_rules(spark):
+    call = "receiver_kind string, receiver string, method string, scope string, start int, args array<struct<kind:string,value:string,items:array<string>>>"
+    rows = [
+        ("this", None, "hasMany", "a", 0, []),
+        ("this", None, "hasMany", "b", 0, [("class", "X", [])]),
+        ("this", None, "belongsTo", "c", 0, [("other", None, [])]),
+        ("container", None, "bind", "d", 0, [("class", "X", []), ("other", None, [])]),
+        ("static", "Route", "get", "e", 0, [("string", "/x", []), ("other", None, [])]),
+        ("static", "Route", "get", "f", 0, [("string", "/x", []), ("class", "X", [])]),
+        ("none", None, "event", "g", 0, [("other", None, [])]),
+        ("none", None, "strlen", "h", 0, [("other", None, [])]),
+    ]
+    got = framework.diagnostics(spark.createDataFrame(rows, call))
+    assert sorted(r.scope for r in got.collect()) == ["a", "c", "d", "e", "g"]
+
+
 def test_own_languages(spark, monkeypatch):
     from graphlens.extract.base import Facts
 
