@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .. import schema
+from .. import runtime, schema
 from ..functions import text as T
 from . import blade, golang, javascript, php, python, rust
 from .base import Facts
@@ -51,6 +51,7 @@ def extracted(files: DataFrame) -> DataFrame:
     content_hash, content) of a known language."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    runtime.ship(files.sparkSession)
     target = to_arrow_schema(schema.EXTRACTED)
     own = dict(LANGUAGES)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets the Python workers import this package, wherever the driver found it: Spark
+    sends it to each executor, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='graphlens-')}/graphlens-package", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a fresh local one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,8 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
-        import tempfile
-
         path = f"file://{tempfile.mkdtemp(prefix='graphlens-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import index
+from . import index, runtime
 from .extract import PARSER_VERSION
 from .operators import context, search, traverse
 from .store import Store
@@ -32,6 +32,7 @@ class GraphSession:
     """
 
     def __init__(self, spark: SparkSession, root: str, store: str):
+        runtime.ship(spark)
         self.spark, self.root, self.store = spark, root, Store(spark, store)
         self._version: str | None = None
 

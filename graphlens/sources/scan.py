@@ -52,6 +52,7 @@ def listing(spark: SparkSession, root: str, builtin: tuple[str, ...] = BUILTIN)
                     rows.append({"path": name, "folder": info.type == fs.FileType.Directory, "size": info.size, "mtime": info.mtime})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC"))]))
 
+    runtime.ship(spark)
     frontier = spark.createDataFrame([("",)], "path string")
     levels = []
     while True:
@@ -79,6 +80,7 @@ def _contents(files: DataFrame, root: str) -> DataFrame:
                     continue
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], names=[*row.schema.names, "content"])
 
+    runtime.ship(files.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInArrow(run, f"{fields}, content binary")
 
