@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from .. import runtime
+
 #: Word characters: everything but ASCII other than digits and letters.
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,7 +37,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers hold, whatever the text lengths."""
+    """Bounds the Arrow batches that Python workers hold, whatever the text lengths, and
+    sees that they find this package."""
+    runtime.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

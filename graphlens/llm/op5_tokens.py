@@ -91,6 +91,7 @@ def read_flat(spark: SparkSession, path: str, block: int = BLOCK_TOKENS) -> Data
 
 def scan(blocks: DataFrame, separator: int = END_OF_DOCUMENT) -> DataFrame:
     """The operator: (file, ordinal, n_tokens, ended) of each document of each file."""
+    C.tune(blocks.sparkSession)
     kind = blocks.schema["file"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
