@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .. import runtime
+from ..runtime import small  # noqa: F401  for the operators
 
 #: Word characters: everything but ASCII other than digits and letters.
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,8 +27,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_BYTES = 2 << 20
 #: Rows in one such pass, so that a row's number fits the ten top bits of a sort key.
 MAX_ROWS = 1024
-#: A table is broadcast only when it has no more rows than this.
-BROADCAST_ROWS = 200_000
 
 U64 = np.uint64
 
@@ -44,34 +43,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
-    if not path:
-        import tempfile
-
-        path = f"file://{tempfile.mkdtemp(prefix='graphlens-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost
     executors, and later plans see one fixed version of the rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
+    path = f"{runtime.shared_dir(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; else left to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def ranked(df: DataFrame, keys: list, name: str, size: str | None = None) -> DataFrame:
     """df with `rank` (long, from 0) in the order of keys, without any one-task sort; with
     `size` also `start`, the sum of that column over all earlier rows.
