@@ -198,7 +198,15 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, z, z.view(np.uint64), z.view(np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    a, s, e, gram, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # A run that goes on in the next segment is one run.
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    last = np.r_[first[1:], len(a)] - 1
+    a, s, e, gram, body = a[first], s[first], e[last], gram[first], body[first]
+    for i in np.flatnonzero(last > first).tolist():
+        piece = data[s[i] : e[i] + LENGTH]
+        body[i] = _hash(_sums(piece, BASE2, odd), BASE2, np.array([0]), np.array([len(piece)]))[0]
+    return a, s, e, gram, body
 
 
 def _runs_of(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from graphlens.llm import op6_suffix as op
@@ -95,6 +96,26 @@ def test_long_texts_in_segments(spark, monkeypatch):
     assert run(spark, rows) == plain(rows)
 
 
+def test_runs_do_not_depend_on_segments(monkeypatch):
+    data = np.frombuffer(random.Random(5).randbytes(3000), np.uint8)
+    whole = [x.tolist() for x in op.runs(data)]
+    for size in (100, 500, 777):
+        monkeypatch.setattr(op, "SEGMENT", size)
+        assert [x.tolist() for x in op.runs(data)] == whole
+
+
+def test_unique_long_text_keeps_all(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefgh ", k=650_000))
+    passage = long[op.SEGMENT - 300 : op.SEGMENT + 300]  # a repeat over the cut is still found
+    other = "".join(rng.choices("abcdefgh ", k=650_000))
+    rows = [(1, long, "a"), (2, other, "a"), (3, "x" + passage + "y", "a")]
+    got = {r.doc_id: r for r in op.report(docs(spark, rows)).collect()}
+    assert (got[2].n_removed, got[2].n_spans) == (0, 0)
+    assert got[2].kept_sha256 == hashlib.sha256(other.encode()).hexdigest()
+    assert (got[1].n_removed, got[1].n_spans, got[3].n_removed) == (600, 1, 600)
+
+
 def test_awkward_rows(spark):
     rows = [r for r in awkward() if len(r[1] or "") < 10_000]
     assert run(spark, rows) == plain(rows)
