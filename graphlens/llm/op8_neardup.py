@@ -19,7 +19,7 @@ bands with probability 0.0008, and has fewer than AGREE agreeing samples with 1e
 
 Defined results: null text is the empty text; texts without words are similar to their
 exact copies alone; class_id is the smallest doc_id of the class (null if it has none);
-repeated rows and null doc_id get rows; an empty table gives no row; other columns are
+different texts may share a doc_id, and then classes may share a class_id; repeated rows and null doc_id get rows; an empty table gives no row; other columns are
 ignored (representatives keeps them).
 """
 
@@ -278,33 +278,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """The operator: (doc_id, key, class_id) of every row."""
+    """The operator: (doc_id, key, root, class_id) of every row; root tells classes apart."""
     spark = docs.sparkSession
     C.tune(spark)
     weights = spark.sparkContext.broadcast(weigh(docs))
     signed = C.materialize(signatures(docs, weights), "signed")
-    # A text is known by its smallest doc_id; without one, by its digest.
-    rep = F.coalesce(F.min("doc_id"), F.xxhash64("key"))
+    # A text is known by its digest: different texts may share a doc_id.
+    rep = F.xxhash64("key")
     texts = C.materialize(signed.groupBy("key").agg(rep.alias("rep"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("sample").alias("sample")), "texts")
     members = texts.filter("bands is not null").select("rep", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep")
     dealt = blocks(members).join(texts.select("rep", "sample"), "rep").select("pair", "rep", "sample")
     close = C.materialize(blocks(_agreeing(dealt).distinct()).distinct().select(F.col("pair").alias("bucket"), "rep"), "close")
-    need = texts.select("rep", "key").join(close.select("rep").distinct(), "rep", "left_semi")
+    # Of a text's copies, the rows of its smallest doc_id are read, and one of them is kept.
+    need = texts.select("rep", F.coalesce("low", "rep").alias("low")).join(close.select("rep").distinct(), "rep", "left_semi")
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    body = docs.select(key.alias("key"), "doc_id", "text").withColumn("rep", F.coalesce("doc_id", F.xxhash64("key"))).join(need, ["rep", "key"]).select("rep", "text")
+    body = docs.select(key.alias("key"), "doc_id", "text").select(rep.alias("rep"), F.coalesce("doc_id", rep).alias("low"), "text")
+    body = body.join(need, ["rep", "low"]).groupBy("rep").agg(F.first("text").alias("text"))
     rows = close.join(body, "rep").select("bucket", "rep", "text")
     roots = components(_links(rows, weights))
     texts = texts.select("key", "rep", "low").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     ids = texts.groupBy("root").agg(F.min("low").alias("class_id"))
-    named = texts.join(ids, "root").select("key", "class_id")
+    named = texts.join(ids, "root").select("key", "root", "class_id")
     return signed.select("doc_id", "key").join(named, "key")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id (any, if all are null)."""
     named = C.materialize(classes(docs), "classes")
-    keep = named.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("k")).agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    keep = keep.select(F.col("class_id").alias("__graphlens_id"), F.col("key").alias("__graphlens_key"))
+    first = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    keep = named.groupBy("root", F.when(F.col("class_id").isNull(), F.col("key")).alias("k")).agg(first.alias("first")).select("first.*")
+    keep = keep.select(F.col("doc_id").alias("__graphlens_id"), F.col("key").alias("__graphlens_key"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.withColumn("__graphlens_digest", digest)
     rows = rows.join(keep, (F.col("__graphlens_digest") == F.col("__graphlens_key")) & F.col("doc_id").eqNullSafe(F.col("__graphlens_id")))

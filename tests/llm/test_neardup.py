@@ -133,6 +133,17 @@ def test_awkward_rows(spark):
     assert run(spark, []) == [] and op.representatives(docs(spark, [])).collect() == []
 
 
+def test_different_texts_of_one_doc_id(spark):
+    rng = random.Random(8)
+    a, b, c = ([f"{x}{rng.randrange(3000)}" for _ in range(100)] for x in "abc")
+    near = lambda ws: " ".join([*ws[:50], "edit", *ws[51:]])
+    # Links of one text of doc_id 7 say nothing of its other texts.
+    rows = [(7, " ".join(a), "a"), (7, " ".join(b), "a"), (7, " ".join(c), "a"), (7, " ".join(c), "a"), (8, near(a), "a"), (3, near(b), "a")]
+    assert run(spark, rows) == plain_classes(rows) == [(3, 3), (7, 3), (7, 7), (7, 7), (7, 7), (8, 7)]
+    kept = sorted((r.doc_id, r.text) for r in op.representatives(docs(spark, rows)).collect())
+    assert kept == sorted([(3, near(b)), (7, " ".join(a)), (7, " ".join(c))])
+
+
 def test_arrow_offsets():
     column = pa.array(["a b", None, "c"]).slice(1)
     data, offs = C.flat(column)
