@@ -27,7 +27,9 @@ from . import common as C
 
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_NAMED = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HIDES = re.compile(r"hidden|display", re.I)
+_NONE = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 
 #: Elements whose inside is no text of the page.
 _SKIP = frozenset("script style noscript template svg iframe object select textarea button math canvas audio video head".split())
@@ -37,6 +39,26 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 #: Elements that count as containers for DOM proximity.
 _BOX = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
+#: What may stand in the head; any other element, and text, ends it.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+#: Elements that end an open paragraph.
+_ENDS_P = _BLOCK - frozenset("body html td th tr tbody thead tfoot caption legend option optgroup frameset title".split())
+#: Elements that end with the start of others: (those ended, where the search for them stops).
+_ROWS, _TABLE = frozenset("thead tbody tfoot tr td th caption".split()), frozenset(("table",))
+_STOPS = _BLOCK - frozenset("address div p li dt dd option optgroup".split())
+_PEERS = {
+    "li": (frozenset(("li",)), _STOPS),
+    "dt": (frozenset(("dt", "dd")), _STOPS),
+    "dd": (frozenset(("dt", "dd")), _STOPS),
+    "option": (frozenset(("option",)), _STOPS | {"optgroup"}),
+    "optgroup": (frozenset(("option", "optgroup")), _STOPS),
+    "td": (frozenset(("td", "th", "caption")), _TABLE | {"tr"}),
+    "th": (frozenset(("td", "th", "caption")), _TABLE | {"tr"}),
+    "tr": (frozenset(("tr", "td", "th", "caption")), _TABLE),
+    "thead": (_ROWS, _TABLE),
+    "tbody": (_ROWS, _TABLE),
+    "tfoot": (_ROWS, _TABLE),
+}
 
 #: What containers say: log-odds of content, in hundredths.
 _TAG_COST = {"article": 250, "main": 200, "nav": -600, "footer": -500, "aside": -500, "form": -500, "menu": -500, "dialog": -500, "header": -150, "fieldset": -300, "title": -900}
@@ -73,6 +95,33 @@ def _name_cost(tag: str, attrs: str) -> int:
     return cost
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an element has the attribute `hidden`, or a style that does not display it."""
+    if not _HIDES.search(attrs):
+        return False
+    for m in _NAMED.finditer(attrs):
+        name = m[1].lower()
+        if name == "hidden" or (name == "style" and _NONE.search(m[2] or m[3] or m[4] or "")):
+            return True
+    return False
+
+
+def _ended(tag: str, names: list[str]) -> int:
+    """Place in names, open elements from the outermost, of the outermost one that the start
+    of `tag` ends; len(names) if none."""
+    at = n = len(names)
+    if tag in _ENDS_P and names and names[-1] == "p":
+        at = n - 1
+    if tag in _PEERS:
+        ends, stops = _PEERS[tag]
+        for i in range(n - 1, -1, -1):
+            if names[i] in ends:
+                at = i
+            elif names[i] in stops:
+                break
+    return at
+
+
 def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
     """(tag, text, box number, path cost, share of link text) of each block with text."""
     out: list[Block] = []
@@ -81,6 +130,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
     current = Block("", 0, 0)
     in_link = skip = at = 0
     skip_tag = ""
+    inner: list[str] = []  # the hidden element and the blocks open in it
     n = len(page)
 
     def close(tag: str) -> None:
@@ -94,6 +144,8 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
+        if skip and skip_tag == "head" and page[at:lt].strip():
+            skip = 0
         if lt > at and not skip:
             text = page[at:lt]
             current.parts.append(text)
@@ -122,7 +174,48 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
             continue
         at = m.end()
         tag, ending = m[1].lower(), page[lt + 1] == "/"
-        if skip:
+        if skip and inner:
+            if ending:
+                for i in range(len(inner) - 1, -1, -1):
+                    if inner[i] == tag:
+                        del inner[i:]
+                        break
+                else:
+                    if tag not in _BLOCK or all(x[0] != tag for x in stack):
+                        continue
+                    inner = []  # the end of an element around it
+                    skip = 0
+                if inner:
+                    continue
+                if skip:
+                    skip = 0
+                    continue
+            else:
+                i = _ended(tag, inner)
+                if i == len(inner) == 1 and (tag in _PEERS or (inner[0] not in _BLOCK and tag in _ENDS_P)):
+                    # It may also end an element around the hidden one.
+                    around = [x[0] for x in stack] + ([inner[0]] if inner[0] in _BLOCK else [])
+                    i = 0 if _ended(tag, around) < len(stack) else i
+                del inner[i:]
+                if inner:
+                    if tag in _RAW:
+                        end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                        at = n if end is None else end.end()
+                    elif (tag in _BLOCK or tag == skip_tag) and tag not in _VOID and not m[2].endswith("/"):
+                        inner.append(tag)
+                    continue
+                skip = 0
+        elif skip and skip_tag == "head":
+            if ending:
+                skip = 0 if tag in ("head", "body", "html") else 1
+                continue
+            if tag in _HEAD:
+                if tag in _RAW:
+                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    at = n if end is None else end.end()
+                continue
+            skip = 0
+        elif skip:
             if tag == skip_tag:
                 skip += -1 if ending else (0 if m[2].endswith("/") else 1)
             continue
@@ -136,12 +229,13 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
                         break
                 close("")
             continue
-        if tag in _SKIP or (m[2] and tag not in ("html", "body") and _HIDDEN.search(m[2])):
+        if tag in _SKIP or (m[2] and tag not in ("html", "body") and _hidden(m[2])):
             if tag in _RAW:  # raw text: only its own end tag ends it
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = n if end is None else end.end()
             elif tag not in _VOID and not m[2].endswith("/"):
                 skip, skip_tag = 1, tag
+                inner = [] if tag in _SKIP else [tag]
             if tag in _BLOCK:
                 close("")
             continue

@@ -63,6 +63,39 @@ def test_odd_html():
     assert "x" not in op.extract("<article><script>x</article><p>x</p>")
 
 
+TEXT = "A sentence of the article that has enough words to be its text."
+
+
+def test_head_without_end_tag():
+    head = '<html><head><meta charset=utf-8><title>T</title><script>var a = "<body><p>no";</script>'
+    for rest in (f"<body><article><p>{TEXT}</article>", f"<article><p>{TEXT}</p></article>", f"</head><body><article><p>{TEXT}</p></article></body>", f"\n{TEXT}"):
+        assert op.extract(head + rest) == TEXT
+
+
+def test_hidden_is_an_attribute():
+    for attrs in ('title="the hidden cost"', 'class="overflow hidden md:block"', "data-x='a hidden b'", 'data-css="display:none"', 'class="hidden"'):
+        assert op.extract(f"<article><p {attrs}>{TEXT}</p></article>") == TEXT
+    for attrs in ("hidden", "HIDDEN=''", 'class="x" hidden', 'style="color:red; display : none"', "style=display:none"):
+        assert op.extract(f"<article><p {attrs}>Not shown.</p><p>{TEXT}</p></article>") == TEXT
+
+
+def test_hidden_elements_end_with_their_parents_and_peers():
+    for page in (
+        f"<article><p hidden>Not shown.<p>{TEXT}</article>",
+        f"<article><p hidden>Not <b>shown</b>.<div>{TEXT}</div></article>",
+        f"<article><ul><li hidden>Not shown.<ul><li>Nor this.<li>Nor this.</ul>Nor this.<li>{TEXT}</ul></article>",
+        f"<article><ul><li hidden>Not shown.</ul><p>{TEXT}</p></article>",
+        f"<article><section><div hidden>Not shown.</section><p>{TEXT}</p></article>",
+        f"<article><dl><dt hidden>Not shown.<dd>{TEXT}</dl></article>",
+        f"<article><table><tr hidden><td>Not<td>shown.<tr><td>{TEXT}</table></article>",
+        f"<article><div hidden><p>Not<p>shown.<div>Nor</div> this.</div><p>{TEXT}</p></article>",
+        f"<article><span hidden>Not <span>shown</span> at all.</span><p>{TEXT}</p></article>",
+        f"<article><p><span hidden>Not shown.<p>{TEXT}</article>",
+        f"<article><div hidden>Not <script>'</div>'</script> shown.</div><p>{TEXT}</p></article>",
+    ):
+        assert op.extract(page) == TEXT, page
+
+
 def test_long_pages_are_linear():
     for page in ("<div>" * 50_000, "<" * 200_000, "<p>word " * 50_000, '<a href="' * 20_000, "<!--" * 50_000, "&amp;" * 100_000):
         op.extract(page)
