@@ -306,7 +306,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id (any, if all are null)."""
     named = C.materialize(classes(docs), "classes")
     first = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    keep = named.groupBy("root", F.when(F.col("class_id").isNull(), F.col("key")).alias("k")).agg(first.alias("first")).select("first.*")
+    keep = named.groupBy("root").agg(first.alias("first")).select("first.*")
     keep = keep.select(F.col("doc_id").alias("__graphlens_id"), F.col("key").alias("__graphlens_key"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.withColumn("__graphlens_digest", digest)

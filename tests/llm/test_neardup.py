@@ -144,6 +144,12 @@ def test_different_texts_of_one_doc_id(spark):
     assert kept == sorted([(3, near(b)), (7, " ".join(a)), (7, " ".join(c))])
 
 
+def test_near_copies_without_ids(spark):
+    ws = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join([*ws[:i], "edit", *ws[i + 1 :]]), "a") for i in (20, 50, 80)]
+    assert len(op.representatives(docs(spark, [*rows, (None, "another text", "a")])).collect()) == 2
+
+
 def test_arrow_offsets():
     column = pa.array(["a b", None, "c"]).slice(1)
     data, offs = C.flat(column)
