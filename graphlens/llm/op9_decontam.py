@@ -3,13 +3,13 @@
 An item's windows are its runs of WINDOW words (a shorter item is one window).  Window
 words are ordered by rarity, counted over the whole corpus.  A window occurs in a
 document only if all its words do, so one prefix token, its rarest word, is necessary:
-documents are searched for prefix tokens, each occurrence is joined to the windows that
-have it, the token's place and the window's length must fit the document, and the words
-around it are then compared with the window, exactly.
+every word of every document is joined to the prefix tokens; the token's place in the
+window and the window's length must fit the document, and the words around it are then
+compared with the window, exactly.
 
-Words are found in lower(text), which folds more than A-Z but keeps every word's place;
-where a prefix token may occur, the words are taken again with A-Z folded alone and
-everything after is exact.
+Words are first taken apart and then folded, for lower-casing depends on what stands
+around a letter.  Tokens are looked up by lower(word), which words that are equal with
+A-Z folded always share; the comparison folds A-Z alone.
 
 Defined results: null text has no words; an item without words has no window; repeated
 documents each get a row; repeated items count once; a null item_id is written as the
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common as C
 
 WINDOW = 10
-#: Up to so many words are searched for as a literal set; more are joined.
-LITERALS = 100_000
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Up to so many prefix tokens are broadcast to the words; more are joined by shuffling.
+TOKENS = 200_000
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
@@ -46,68 +46,65 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _split(text: Column) -> Column:
-    """The words of text, faster than by matching them; the first and the last may be
-    empty, see _lead and _count."""
-    return F.split(F.coalesce(text, F.lit("")), SEPARATORS)
+    """The words of text and one empty string after them, which stands for the text itself;
+    another one comes before them if the text starts with a separator."""
+    return F.split(F.concat(F.coalesce(text, F.lit("")), F.lit("\n")), SEPARATORS)
 
 
-def _lead(w: Column) -> Column:
-    return (F.element_at(w, 1) == "").cast("int")
-
-
-def _count(w: Column) -> Column:
-    return F.size(w) - _lead(w) - ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
-
-
-def _located(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(rid, doc_id, text, digest, n_words, at), at being the places (from 0) of words that are tokens."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("rid"))
-    rows = rows.withColumn("_w", _split(F.lower("text")))
-    n_words = _count(F.col("_w")).alias("n_words")
-    if tokens.limit(LITERALS + 1).count() <= LITERALS:
-        wanted = [r[0] for r in tokens.collect()]  # LITERALS at most
-        at = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
-        return rows.select("rid", "doc_id", "text", "digest", n_words, _lead(F.col("_w")).alias("lead"), at.alias("at")).withColumn("at", F.transform("at", lambda i: i - F.col("lead"))).drop("lead")
-    # Places depend on the text alone, so its digest joins them, not a row number.
-    rows = rows.withColumn("x2", F.xxhash64("text", F.lit(1)))
-    places = rows.select("digest", "x2", _lead(F.col("_w")).alias("lead"), F.posexplode("_w").alias("p", "token")).join(tokens, "token")
-    places = places.groupBy("digest", "x2").agg(F.sort_array(F.collect_set(F.col("p") - F.col("lead"))).alias("at"))
-    rows = rows.select("rid", "doc_id", "text", "digest", n_words, "x2").join(places, ["digest", "x2"], "left").drop("x2")
-    return rows.withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+def _folded(words: Column) -> Column:
+    """Words as one string, A-Z folded; words hold no blanks."""
+    return F.translate(F.array_join(words, " "), C.UPPER, C.LOWER)
 
 
 def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """wins with `token`, the rarest word of the window over all documents, and `place`."""
     vocabulary = wins.select(F.explode("w").alias("token")).select(F.lower("token").alias("token")).distinct()
-    words = _split(F.lower("text"))
-    if vocabulary.limit(LITERALS + 1).count() <= LITERALS:
-        wanted = [r[0] for r in vocabulary.collect()]
-        seen = docs.select(F.explode(F.filter(words, lambda w: w.isin(wanted))).alias("token"))
-    else:
-        seen = docs.select(F.explode(words).alias("token")).join(vocabulary, "token", "left_semi")
+    vocabulary = C.small(C.materialize(vocabulary, "vocabulary"))
+    seen = docs.select(F.explode(_split(F.col("text"))).alias("word")).select(F.lower("word").alias("token")).join(vocabulary, "token")
     counts = C.small(C.materialize(seen.groupBy("token").agg(F.count("*").alias("n")), "rarity"))
     each = wins.select("w", "items", F.posexplode("w").alias("place", "word")).withColumn("token", F.lower("word")).join(counts, "token", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r")
-    return each.groupBy("w", "items").agg(rarest).select("w", "items", F.col("r.word").alias("token"), F.col("r.place").alias("place"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("r")
+    return each.groupBy("w", "items").agg(rarest).select("w", "items", F.col("r.token").alias("token"), F.col("r.place").alias("place"))
+
+
+def _candidates(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(rid, doc_id, digest, _w, p, token): every word of a text that is a token, where
+    tokens has the empty one, so that each text gives a row for the end of it."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("rid"))
+    if tokens.limit(TOKENS + 1).count() <= TOKENS:
+        words = rows.select("rid", "doc_id", "digest", _split(F.col("text")).alias("_w"))
+        words = words.select("rid", "doc_id", "digest", "_w", F.posexplode("_w").alias("p", "word"))
+        return words.withColumn("token", F.lower("word")).join(F.broadcast(tokens), "token")
+    # Places depend on the text alone, so its digests join them, and no text is shuffled
+    # once a word.
+    rows = rows.withColumn("x2", F.xxhash64("text", F.lit(1)))
+    words = rows.select("digest", "x2", F.posexplode(_split(F.col("text"))).alias("p", "word")).filter("word != ''").withColumn("token", F.lower("word"))
+    places = words.join(tokens, "token").groupBy("digest", "x2").agg(F.collect_set(F.struct("p", "token")).alias("at"))
+    rows = rows.withColumn("_w", _split(F.col("text"))).drop("text").join(places, ["digest", "x2"], "left")
+    end = F.array(F.struct((F.size("_w") - 1).alias("p"), F.lit("").alias("token")))
+    at = F.array_union(F.coalesce("at", F.array().cast("array<struct<p:int,token:string>>")), end)
+    return rows.select("rid", "doc_id", "digest", "_w", F.explode(at).alias("c")).select("rid", "doc_id", "digest", "_w", "c.p", "c.token")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The operator: per document (rid, doc_id, digest, n_words, spans, items), spans being the
     (start, length) of each occurrence of a window in words, items the sorted item_ids."""
-    wins = C.materialize(prefixes(docs, windows(benchmark, size)), "windows")
-    tokens = wins.select(F.lower("token").alias("token")).distinct()
-    rows = _located(docs, tokens)
-    exact = F.when(F.size("at") > 0, exact_words(F.col("text")))
-    rows = rows.select("rid", "doc_id", "digest", "n_words", "at", exact.alias("ew"))
-    low = lambda p: F.greatest(p - (size - 1), F.lit(0))
-    around = F.transform("at", lambda p: F.struct(p.alias("p"), F.element_at("ew", p + 1).alias("token"), low(p).alias("from"), F.slice("ew", low(p) + 1, F.lit(2 * size - 1)).alias("ctx")))
-    rows = rows.select("rid", "doc_id", "digest", "n_words", F.explode_outer(around).alias("c")).select("rid", "doc_id", "digest", "n_words", "c.*")
-    rows = rows.join(C.small(wins.withColumn("len", F.size("w"))), "token", "left")
+    wins = prefixes(docs, windows(benchmark, size))
+    wins = C.materialize(wins.select("token", "place", F.size("w").alias("len"), F.array_join("w", " ").alias("window"), "items"), "windows")
+    end = docs.sparkSession.range(1).select(F.lit("").alias("token"))
+    rows = _candidates(docs, wins.select("token").distinct().unionByName(end))
+    # Only the words that a window could cover go on.
+    low, last = F.greatest(F.col("p") - (size - 1), F.lit(0)), F.size("_w") - 1
+    lead = ((F.element_at("_w", 1) == "") & (last > 0)).cast("int")
+    rows = rows.filter((F.col("token") != "") | (F.col("p") == last))
+    rows = rows.select("rid", "doc_id", "digest", "p", "token", last.alias("last"), lead.alias("lead"), low.alias("low"), F.slice("_w", low + 1, F.lit(2 * size - 1)).alias("ctx"))
+    rows = rows.join(C.small(wins), "token", "left")
     start = F.col("p") - F.col("place")
-    fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
-    found = fits & (F.slice("ctx", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.col("len")) == F.col("w"))
-    rows = rows.select("rid", "doc_id", "digest", "n_words", F.when(found, F.struct(start.alias("start"), F.col("len").alias("len"))).alias("span"), F.when(found, F.col("items")).alias("items"))
-    rows = rows.groupBy("rid", "doc_id", "digest", "n_words").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    fits = (start >= 0) & (start + F.col("len") <= F.col("last"))
+    found = fits & (_folded(F.slice("ctx", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("len"))) == F.col("window"))
+    end = F.col("token") == ""
+    rows = rows.filter(found | end).select("rid", "doc_id", "digest", F.when(end, F.col("last") - F.col("lead")).alias("n_words"), F.when(~end, F.struct((start - F.col("lead")).alias("start"), F.col("len").alias("len"))).alias("span"), F.when(~end, F.col("items")).alias("items"))
+    rows = rows.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
     return rows.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
 
 

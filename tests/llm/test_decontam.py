@@ -59,7 +59,7 @@ def test_by_brute_force(spark):
 
 def test_joined_words_give_the_same(spark, monkeypatch):
     rows, bench = corpus(2)
-    monkeypatch.setattr(op, "LITERALS", 2)
+    monkeypatch.setattr(op, "TOKENS", 2)
     assert run(spark, rows, bench) == plain(rows, bench)
 
 
@@ -69,6 +69,17 @@ def test_case_beyond_ascii_counts(spark):
         assert run(spark, rows, bench) == plain(rows, bench)
 
 
+def test_letters_whose_lower_case_depends_on_their_neighbours(spark, monkeypatch):
+    item = "alpha beta gamma delta eps ΟΔΟΣ.ΑΒ zeta eta theta"
+    rows = [(1, f"before {item} after", "a"), (2, item, "a"), (3, "Α.Σ. ẞ İ end", "a"), (4, "Α.Σ.", "a"), (5, f".{item.replace('alpha', 'ALPHA')}", "a"), (6, item.lower(), "a")]
+    bench = [(1, item), (2, "Α.Σ. ẞ İ end"), (3, "ΟΔΟΣ"), (4, "Σ.ΑΣ Σ'Α")]
+    found = run(spark, rows, bench)
+    assert found == plain(rows, bench)
+    assert [r[5] for r in found] == [True, True, True, False, True, False] and found[1][2] == 10
+    monkeypatch.setattr(op, "TOKENS", 1)
+    assert run(spark, rows, bench) == plain(rows, bench)
+
+
 def test_awkward_rows(spark):
     bench = [(1, "One short text"), (2, ""), (3, None), (4, "tabs and lines and more"), (5, "same words")]
     assert run(spark, awkward(), bench) == plain(awkward(), bench)
