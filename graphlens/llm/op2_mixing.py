@@ -1,21 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled (by a seeded digest) and repeated as a queue; a
-document's virtual finish time is its source's cumulative words divided by the source's
-target.  The queues are served in the order of finish time over all sources: rows are
-dealt to equal ranges of virtual time, each range's words are added up, and the mix ends
-where its running total reaches the budget.  The document that a queue is serving at
-that time is cut there, so each source comes to its target but for rounding.
+Each source's documents are shuffled (by a seeded digest) and repeated MAX_REPEAT times
+as a queue; a document's virtual finish time is its source's cumulative words divided by
+the source's target.  All queues' documents are range-sorted by finish time and served
+until the running total of words reaches the budget, the words of all documents; the
+document being served then is cut there.  Nothing else ends a queue: a source comes to
+its target, but for the document that it would serve next, because all finish times pass
+1 together.
 
 Defined results: null text has size 0; null source is a source of its own, ordered
 last; null doc_id and repeated rows are rows like others; a source of size 0 has target
-0; an empty table gives no row; other columns are ignored.
+0; documents of size 0 are not served; an empty table gives no row; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -53,44 +53,31 @@ def targets(rows: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", F.when(F.col("ratio") <= F.col("line"), (MAX_REPEAT * F.col("source_size")).cast("double")).otherwise(F.col("w") * F.col("line")).alias("target"))
 
 
-def mix(rows: DataFrame, goals: DataFrame, n_rows: int) -> DataFrame:
-    """The operator: (rid, copy, finish, offset, words) of every document served, where
-    offset is the words of the mix before it.  rows as of sized(), goals of targets()."""
-    # A queue's running total: digests deal each source evenly over 16**digits ranges.
-    digits = max(1, ceil(log(max(n_rows, 1) / 2000 + 1, 16)))
-    rows = rows.withColumn("range", F.substring("digest", 1, digits))
-    parts = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("digest", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    queued = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    queued = queued.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
-    queued = queued.select("rid", "size", "source", (F.col("base") + F.col("inner")).alias("before"))
-    goals = goals.select(F.col("source").alias("_g"), "source_size", "target")
+def mix(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """The operator: (rid, copy, finish, offset, words) of every document of every queue,
+    in the order of `offset`, the words served before it.  rows as of sized(), goals of
+    targets().  Both orders are range sorts in which rid splits equal digests, so that no
+    source and no repeated row makes a large task."""
+    rows = rows.filter("size > 0")
+    queued = C.ranked(rows, [F.col("source").asc_nulls_last(), "digest", "size", "rid"], "queues", size="size")
+    # One row a source: where its queue starts among all.
+    earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    goals = goals.filter("source_size > 0").select(F.col("source").alias("_g"), "source_size", "target", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)).alias("base"))
     queued = queued.join(C.small(goals), F.col("source").eqNullSafe(F.col("_g")))
-    copies = F.sequence(F.lit(0), F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(MAX_REPEAT)).cast("int") - 1)
-    queued = queued.filter((F.col("size") > 0) & (F.col("target") >= 1)).select("rid", "size", "before", "source_size", "target", F.explode(copies).alias("copy"))
-    start = F.col("copy") * F.col("source_size") + F.col("before")
-    queued = queued.withColumn("start", start).filter(F.col("start") < F.floor("target"))
-    served = queued.select("rid", "copy", ((F.col("start") + F.col("size")) / F.col("target")).alias("finish"), F.least(F.col("size"), F.floor("target") - F.col("start")).cast("long").alias("words"))
-    # The global order: equal ranges of virtual time hold about equal words.
-    ranges = max(1, n_rows // 1000)
-    served = served.withColumn("tick", F.least(F.floor(F.col("finish") * ranges), F.lit(ranges)).cast("long"))
-    ticks = served.groupBy("tick").agg(F.sum("words").alias("w"))
-    ticks = ticks.select(F.col("tick").alias("_t"), F.coalesce(F.sum("w").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("tick").orderBy("finish", "rid", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    served = served.withColumn("inner", F.coalesce(F.sum("words").over(within), F.lit(0))).join(ticks, F.col("tick") == F.col("_t"))
-    return served.select("rid", "copy", "finish", (F.col("base") + F.col("inner")).alias("offset"), "words")
+    queued = queued.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEAT - 1))))
+    tokens = F.col("copy") * F.col("source_size") + F.col("start") - F.col("base") + F.col("size")
+    queued = queued.select("rid", "copy", "digest", (tokens / F.col("target")).alias("finish"), F.col("size").alias("words"))
+    served = C.ranked(queued, ["finish", "digest", "words", "copy", "rid"], "served", size="words")
+    return served.select("rid", "copy", "finish", F.col("start").alias("offset"), "words")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Per document: (doc_id, size, source_size, target, taken, first_finish)."""
     rows = sized(docs)
-    budget = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    budget = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first().words
     goals = C.materialize(targets(rows), "targets")
-    order = mix(rows, goals, budget.n)
-    kept = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget.words) - F.col("offset")))
-    taken = order.withColumn("kept", kept).groupBy("rid").agg(F.sum("kept").alias("taken"), F.min("finish").alias("first_finish"))
+    kept = F.least(F.col("words"), F.lit(budget) - F.col("offset"))
+    taken = mix(rows, goals).withColumn("kept", kept).filter("kept > 0").groupBy("rid").agg(F.sum("kept").alias("taken"), F.min("finish").alias("first_finish"))
     goals = goals.withColumnRenamed("source", "_g")
     out = rows.join(C.small(goals), F.col("source").eqNullSafe(F.col("_g"))).join(taken, "rid", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "first_finish")
@@ -101,8 +88,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
 ), r AS (
@@ -111,8 +98,12 @@ WITH d AS (
       / sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
 ), l AS (SELECT arg_min(level, ratio) AS line FROM r WHERE ratio >= level),
 g AS (SELECT source, source_size, CASE WHEN ratio <= line THEN CAST(3 * source_size AS DOUBLE) ELSE w * line END AS target FROM r, l),
-q AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
-SELECT doc_id, size, source_size, target, CAST(
-  greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size)) + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken
-FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source
+q AS (
+  SELECT rid, d.size, digest, copy, (copy * source_size + sum(d.size) OVER (PARTITION BY d.source, copy ORDER BY digest, d.size, rid ROWS UNBOUNDED PRECEDING)) / target AS finish
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, (SELECT unnest([0, 1, 2]) AS copy) WHERE d.size > 0
+), o AS (
+  SELECT rid, size, coalesce(sum(size) OVER (ORDER BY finish, digest, size, copy, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q
+), k AS (SELECT rid, sum(least(size, (SELECT sum(size) FROM d) - before)) AS taken FROM o WHERE before < (SELECT sum(size) FROM d) GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN k USING (rid)
 """
