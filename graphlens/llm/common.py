@@ -43,12 +43,14 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost
-    executors, and later plans see one fixed version of the rows."""
+    executors, and later plans see one fixed version of the rows.  `by`, the last column,
+    gives the folders the rows lie in."""
     spark = df.sparkSession
     path = f"{runtime.shared_dir(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    write = df.write.option("compression", compression)
+    (write.partitionBy(by) if by else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

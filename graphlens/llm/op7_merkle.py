@@ -1,25 +1,37 @@
 """WARC Merkle fixity audit.
 
-Every record of an archive is hashed; records in archive order, with their byte offsets,
-are the leaves of a tree whose nodes hash FANOUT children together with the length of
-the offset range they cover.  Two replicas get trees over the same ranges (records are
-aligned by key; a lost record is a leaf of its own kind).  The audit compares the roots
-and descends only into children whose hashes differ, down to the corrupt records.
+Each replica gets a tree of its own, made from that replica alone.  Records in archive
+order (by key, records of one key by their hash) are hashed; the records of one range of
+keys are a leaf range, whose node hashes the ordered record hashes together with the
+bytes they cover.  The ranges are fixed by a layout (the first key and the width of a
+range), so a lost record moves no other one into another range.  FANOUT nodes side by
+side have a parent, which hashes them in order, up to the root.  Records of one key are
+numbered; from the FANOUTth on they fill ranges of their own, which come together below
+the key's range, so that no key makes a large group.
+
+The audit compares the two roots, then reads of the next level only the children of
+nodes that differ: every level, and the records, lie in folders of parents (`part`), of
+which only those are read that hold a child in question.  Records are compared only in
+leaf ranges that differ; those of all others are intact by their hash.
 
 Defined results: null html and url count as empty; null page_id is a key like others and
 comes first; repeated keys are told apart by their order of hash; a replica without a
-record has state `missing` there, one with a record too many `extra`; an empty archive
-gives no row; other columns are ignored.
+record has state `missing` there; one with a record too many `extra`, with null offset
+and 0 bytes, as the master has no place for it; empty archives give no row; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from . import common as C
 
 FANOUT = 64
+#: Folders a level is cut into, at most; more only make the descent read less.
+PARTS = 256
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -29,52 +41,119 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """(page_id, copy, n_bytes, sha256) of every record of an archive; no text goes on."""
+class Layout(NamedTuple):
+    """Which range a key is in, alike for both replicas."""
+
+    low: int
+    width: int
+    last: int  # the last range; the first, 0, has the null keys
+    height: int  # levels above the leaf ranges
+    copies: int  # the lowest levels, which bring the ranges of one key together
+    folders: list[int]  # of each level, ranges to a folder
+
+
+class Replica(NamedTuple):
+    records: DataFrame  # (page_id, copy, range, sub, start, n_bytes, sha256, part)
+    levels: list[DataFrame]  # leaf ranges first: (range, sub, n_bytes, hash, part)
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """(page_id, copy, start, n_bytes, sha256) of an archive's records, in archive order; no
+    text goes on.  Ranks come from a range sort, so no key makes a large task."""
     text = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("r"))
-    rows = text.select("page_id", F.octet_length("r").cast("long").alias("n_bytes"), F.sha2("r", 256).alias("sha256"))
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("sha256")))
-
-
-def leaves(master: DataFrame, replica: DataFrame) -> DataFrame:
-    """Both replicas' digests, aligned and in archive order, with offsets, written once."""
-    b = replica.select(F.col("page_id").alias("b_id"), F.col("copy").alias("b_copy"), F.col("n_bytes").alias("b_bytes"), F.col("sha256").alias("b"))
-    rows = master.join(b, F.col("page_id").eqNullSafe(F.col("b_id")) & (F.col("copy") == F.col("b_copy")), "full_outer")
-    rows = rows.select(F.coalesce("page_id", "b_id").alias("page_id"), F.coalesce("copy", "b_copy").alias("copy"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("b_bytes", F.lit(0)).cast("long").alias("b_bytes"), F.coalesce("sha256", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))
-    rows = C.ranked(rows, ["page_id", "copy"], "leaves", size="n_bytes")
-    return C.materialize(rows.withColumnRenamed("rank", "node"), "leaves")
-
-
-def trees(leaf: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels of both trees, leaves first: (node, a, b, a_bytes, b_bytes)."""
-    level = leaf.select("node", "a", "b", F.col("n_bytes").alias("a_bytes"), "b_bytes")
-    levels, n = [level], leaf.count()
-    while n > 1:
-        kids = F.array_sort(F.collect_list(F.struct("node", "a", "b")))  # fanout at most
-        level = level.groupBy(F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(kids.alias("k"), F.sum("a_bytes").alias("a_bytes"), F.sum("b_bytes").alias("b_bytes"))
-        join = lambda x: F.sha2(F.concat_ws(":", F.col(f"{x}_bytes").cast("string"), F.concat_ws(",", F.col(f"k.{x}"))), 256)
-        level = C.materialize(level.select("node", join("a").alias("a"), join("b").alias("b"), "a_bytes", "b_bytes"), f"level{len(levels)}")
-        levels.append(level)
-        n = (n + fanout - 1) // fanout
-    return levels
-
-
-def descend(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(node) of the leaves that differ, reached only through nodes that differ."""
-    differ = levels[-1].filter("a != b").select("node")
-    for level in reversed(levels[:-1]):
-        up = differ.select(F.col("node").alias("up"))
-        differ = level.filter("a != b").join(up, F.floor(F.col("node") / fanout) == F.col("up"), "left_semi").select("node")
-    return differ
-
-
-def audit(master: DataFrame, replica: DataFrame) -> DataFrame:
+    rows = C.materialize(text.select("page_id", F.octet_length("r").cast("long").alias("n_bytes"), F.sha2("r", 256).alias("sha256")), "digests")
+    rows = C.ranked(rows, ["page_id", "sha256"], "records", size="n_bytes")
+    several = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("rank").alias("first")).filter("n > 1").select(F.col("page_id").alias("_k"), "first")
+    rows = rows.join(C.small(several), F.col("page_id").eqNullSafe(F.col("_k")), "left")
+    rows = rows.select("page_id", F.coalesce(F.col("rank") - F.col("first"), F.lit(0)).alias("copy"), "start", "n_bytes", "sha256")
+    return C.materialize(rows, "numbered")
+
+
+def layout(*replicas: DataFrame, fanout: int = FANOUT) -> Layout:
+    """Ranges of about `fanout` records for keys that lie evenly, over all replicas' keys."""
+    spread = [r.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("page_id").alias("n"), F.max("copy").alias("most")).first() for r in replicas]
+    low = min((x.low for x in spread if x.low is not None), default=0)
+    high = max((x.high for x in spread if x.high is not None), default=0)
+    width = max(1, (high - low + 1) * fanout // max(1, *(x.n for x in spread)))
+    last = (high - low) // width + 1
+    levels = lambda n: 0 if n == 0 else 1 + levels(n // fanout)
+    copies, height = levels(max(x.most or 0 for x in spread) // fanout), levels(last)
+    parts = [last // fanout ** max(0, k - copies) // PARTS + 1 for k in range(copies + height + 1)]
+    return Layout(low, width, last, copies + height, copies, parts)
+
+
+def _written(rows: DataFrame, span: int, name: str) -> DataFrame:
+    rows = rows.withColumn("part", F.floor(F.col("range") / F.lit(span)).cast("int"))
+    rows = rows.repartition("part", F.floor(F.col("sub") / F.lit(1024))).sortWithinPartitions("part", "range", "sub")
+    return C.materialize(rows, name, by="part")
+
+
+def tree(rows: DataFrame, plan: Layout, name: str, fanout: int = FANOUT) -> Replica:
+    """One replica's records and tree, from records(), written level by level."""
+
+    def node(order: str):
+        return F.sha2(F.concat_ws(":", F.col("n_bytes").cast("string"), F.array_join(F.transform(F.array_sort("kids"), lambda k: k[order]), ",")), 256).alias("hash")
+
+    key = F.coalesce(F.floor((F.col("page_id") - F.lit(plan.low)) / F.lit(plan.width)) + 1, F.lit(0)).cast("long")
+    rows = rows.withColumn("range", key).withColumn("sub", F.floor(F.col("copy") / fanout).cast("long"))
+    rows = _written(rows, plan.folders[0], f"{name}-records")
+    level = rows.groupBy("range", "sub").agg(F.sum("n_bytes").alias("n_bytes"), F.collect_list(F.struct("page_id", "copy", "sha256")).alias("kids"))
+    levels = [_written(level.select("range", "sub", "n_bytes", node("sha256")), plan.folders[0], f"{name}-0")]
+    for k in range(plan.height):
+        own, other = ("sub", "range") if k < plan.copies else ("range", "sub")
+        up = levels[-1].groupBy(other, F.floor(F.col(own) / fanout).cast("long").alias("_up"))
+        level = up.agg(F.sum("n_bytes").alias("n_bytes"), F.collect_list(F.struct(own, "hash")).alias("kids"))  # fanout at most
+        level = level.withColumnRenamed("_up", own).select("range", "sub", "n_bytes", node("hash"))
+        levels.append(_written(level, plan.folders[k + 1], f"{name}-{k + 1}"))
+    return Replica(rows, levels)
+
+
+def _below(rows: DataFrame, up: DataFrame, own: str, fanout: int, span: int) -> DataFrame:
+    """The rows, nodes or records, below the nodes (range, sub) of `up`, read only from the
+    folders that can hold them."""
+    range_ = F.col("range") * (fanout if own == "range" else 1)
+    to = range_ + (fanout - 1 if own == "range" else 0)
+    folders = up.select(F.explode(F.sequence(F.floor(range_ / span).cast("int"), F.floor(to / span).cast("int"))).alias("part")).distinct()
+    folders = [r.part for r in folders.collect()]  # PARTS + 1 at most, and the last one's rest
+    up = up.select(F.col("range").alias("_r"), F.col("sub").alias("_s"))
+    at = {c: F.floor(F.col(c) / (fanout if c == own else 1)).cast("long") for c in ("range", "sub")}
+    return rows.filter(F.col("part").isin(folders)).join(C.small(up), (at["range"] == F.col("_r")) & (at["sub"] == F.col("_s")), "left_semi")
+
+
+def descend(a: Replica, b: Replica, plan: Layout, fanout: int = FANOUT) -> tuple[DataFrame, list[DataFrame]]:
+    """(range, sub) of the leaf ranges that differ, reached from the root through nodes that
+    differ, and the nodes compared at each level on the way."""
+    differ, compared = None, []
+    for k in range(plan.height, -1, -1):
+        x, y = a.levels[k], b.levels[k]
+        if differ is not None:
+            if not differ.limit(1).count():
+                return differ, compared
+            own = "sub" if k < plan.copies else "range"
+            x, y = (_below(t, differ, own, fanout, plan.folders[k]) for t in (x, y))
+        y = y.select(F.col("range").alias("_r"), F.col("sub").alias("_s"), F.col("hash").alias("other"))
+        both = x.join(y, (F.col("range") == F.col("_r")) & (F.col("sub") == F.col("_s")), "full_outer")
+        both = both.select(F.coalesce("range", "_r").alias("range"), F.coalesce("sub", "_s").alias("sub"), "hash", "other")
+        compared.append(C.materialize(both, f"compared{k}"))
+        differ = compared[-1].filter(~F.col("hash").eqNullSafe(F.col("other"))).select("range", "sub")
+    return differ, compared
+
+
+def audit(master: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The operator: per record (page_id, offset, n_bytes, sha256, replica_sha256, state)."""
-    leaf = leaves(digests(master), digests(replica))
-    found = descend(trees(leaf)).withColumn("bad", F.lit(True))
-    rows = leaf.join(found, "node", "left")
-    state = F.when(F.col("bad").isNull(), "intact").when(F.col("b") == "", "missing").when(F.col("a") == "", "extra").otherwise("corrupt")
-    return rows.select("page_id", F.col("start").alias("offset"), "n_bytes", F.col("a").alias("sha256"), F.col("b").alias("replica_sha256"), state.alias("state"))
+    mine, theirs = records(master), records(replica)
+    plan = layout(mine, theirs, fanout=fanout)
+    a, b = tree(mine, plan, "master", fanout), tree(theirs, plan, "replica", fanout)
+    differ, _ = descend(a, b, plan, fanout)
+    x, y = (_below(t.records, differ, "", fanout, plan.folders[0]) for t in (a, b))
+    y = y.select(F.col("page_id").alias("_id"), F.col("copy").alias("_copy"), F.col("sha256").alias("_sha"))
+    both = x.join(y, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "full_outer")
+    state = F.when(F.col("_copy").isNull(), "missing").when(F.col("copy").isNull(), "extra").when(F.col("sha256") != F.col("_sha"), "corrupt").otherwise("intact")
+    found = both.select(F.coalesce("page_id", "_id").alias("page_id"), F.col("start").alias("offset"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("_sha", F.lit("")).alias("replica_sha256"), state.alias("state"))
+    up = differ.select(F.col("range").alias("_r"), F.col("sub").alias("_s"))
+    whole = a.records.join(C.small(up), (F.col("range") == F.col("_r")) & (F.col("sub") == F.col("_s")), "left_anti")
+    whole = whole.select("page_id", F.col("start").alias("offset"), "n_bytes", "sha256", F.col("sha256").alias("replica_sha256"), F.lit("intact").alias("state"))
+    return whole.unionByName(found)
 
 
 def decayed(pages: DataFrame) -> DataFrame:

@@ -36,21 +36,71 @@ def test_finds_the_damage(spark):
         at += len(record)
 
 
-def test_roots_by_brute_force(spark):
-    rows = sample(200)
-    leaf = op.leaves(op.digests(pages(spark, rows)), op.digests(pages(spark, rows)))
-    levels = op.trees(leaf, fanout=4)
-    level = [(hashlib.sha256(plain_record(*r)).hexdigest(), len(plain_record(*r))) for r in sorted(rows)]
-    for table in levels:
-        assert [(r.a, r.b, r.a_bytes) for r in table.orderBy("node").collect()] == [(h, h, n) for h, n in level]
-        level = [(hashlib.sha256(":".join([str(sum(n for _, n in part)), ",".join(h for h, _ in part)]).encode()).hexdigest(), sum(n for _, n in part)) for part in (level[i : i + 4] for i in range(0, len(level), 4))]
-    assert levels[-1].count() == 1
+def trees(spark, *tables, fanout):
+    rows = [op.records(pages(spark, t)) for t in tables]
+    plan = op.layout(*rows, fanout=fanout)
+    return plan, [op.tree(r, plan, "t", fanout) for r in rows]
+
+
+def plain_tree(rows, plan, fanout):
+    """Levels {(range, sub): (bytes, hash)}, made one dictionary after the other."""
+    digests, last = [], (object(), 0)
+    for i, sha, n in sorted(((i, hashlib.sha256(plain_record(i, u, h)).hexdigest(), len(plain_record(i, u, h))) for i, u, h in rows), key=lambda r: (r[0] is not None, r[0], r[1])):
+        last = (i, last[1] + 1 if last[0] == i else 0)
+        digests.append((0 if i is None else (i - plan.low) // plan.width + 1, last[1], sha, n))
+    level = {}
+    for r, copy, sha, n in digests:
+        level.setdefault((r, copy // fanout), []).append((n, sha))
+    out = []
+    while True:
+        level = {k: (sum(n for n, _ in v), hashlib.sha256(":".join([str(sum(n for n, _ in v)), ",".join(h for _, h in v)]).encode()).hexdigest()) for k, v in level.items()}
+        out.append(level)
+        if len(out) > plan.height:
+            return out
+        up = {}
+        for (r, s), v in sorted(level.items()):
+            up.setdefault((r, s // fanout) if len(out) <= plan.copies else (r // fanout, s), []).append(v)
+        level = up
+
+
+def test_trees_by_brute_force(spark):
+    rows = sample(100) + [(77, "u", f"copy {i}") for i in range(20)] + [(None, "u", f"null {i}") for i in range(5)]
+    plan, (a,) = trees(spark, rows, fanout=4)
+    want = plain_tree(rows, plan, 4)
+    assert plan.copies == 2 and len(a.levels) == len(want)
+    for table, level in zip(a.levels, want, strict=True):
+        assert {(r.range, r.sub): (r.n_bytes, r.hash) for r in table.collect()} == level
+    assert list(want[-1]) == [(0, 0)]
 
 
 def test_equal_replicas_end_at_the_root(spark):
     rows = sample(100)
-    leaf = op.leaves(op.digests(pages(spark, rows)), op.digests(pages(spark, rows)))
-    assert op.descend(op.trees(leaf)).count() == 0
+    plan, (a, b) = trees(spark, rows, rows, fanout=8)
+    differ, compared = op.descend(a, b, plan, 8)
+    assert differ.count() == 0 and [c.count() for c in compared] == [1]
+
+
+def test_the_descent_reads_only_children_of_nodes_that_differ(spark):
+    rows = [(i, "u", f"page {i}") for i in range(600)]
+    other = [(i, u, h + "!" if i == 321 else h) for i, u, h in rows]
+    plan, (a, b) = trees(spark, rows, other, fanout=8)
+    # Records and nodes elsewhere could be anything: they are not looked at.
+    differ, compared = op.descend(a, b, plan, 8)
+    assert [(r.range, r.sub) for r in differ.collect()] == [(321 // plan.width + 1, 0)]
+    assert len(compared) == plan.height + 1 and max(c.count() for c in compared) <= 8
+    files = lambda t: set(t.inputFiles())
+    below = op._below(b.levels[0], differ, "", 8, plan.folders[0])
+    part = {r.part for r in below.select("part").collect()}
+    assert len(part) == 1 and 0 < len([f for f in files(b.levels[0]) if f"part={min(part)}/" in f]) < len(files(b.levels[0]))
+    plan_text = below._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan_text and "part" in plan_text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_damage_among_records_of_one_key(spark):
+    rows = [(7, "u", f"copy {i:03d}") for i in range(70)] + sample(50)
+    other = [(i, u, h.replace("copy 050", "copy 05O")) for i, u, h in rows]
+    got = op.audit(pages(spark, rows), pages(spark, other), fanout=16).collect()
+    assert len(got) == len(rows) and {r.page_id for r in got if r.state != "intact"} == {7}
 
 
 def test_awkward_rows(spark):
@@ -58,5 +108,7 @@ def test_awkward_rows(spark):
     got = op.audit(pages(spark, rows), pages(spark, rows[:-1])).collect()
     assert len(got) == len(rows)
     assert sum(r.state != "intact" for r in got) in (1, 2)
+    assert {r.state for r in op.audit(pages(spark, rows), pages(spark, [])).collect()} == {"missing"}
+    assert {r.state for r in op.audit(pages(spark, []), pages(spark, rows)).collect()} == {"extra"}
     assert op.audit(pages(spark, []), pages(spark, [])).collect() == []
     assert C.materialize(op.decayed(pages(spark, rows)), "d").filter(F.col("page_id") == 1).count() == 2
