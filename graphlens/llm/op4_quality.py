@@ -3,17 +3,22 @@
 Two generative models of hashed n-grams are fitted: the target (texts labelled good) and
 the raw corpus (every text).  Tokens are separated by white space; the n-grams are one
 and two words (A-Z folded) and one and two word shapes (runs of lower case, upper case,
-digits, and each other sign; a word said twice running is one too).  A text's log weight is the sum of log(target / raw) over
-its n-grams; its score is that sum over (tokens + PRIOR), so that long texts do not win by
-length and very short ones stay near neutral.  Adding Gumbel noise to score / TEMPERATURE
-and taking the k largest keys draws k texts without replacement in proportion to their
-tempered weights; k is the number of texts whose score is at least CUT: a text that the
-target model does not find clearly less likely than the raw one counts as wanted.
-
-Defined results: null text is empty, with log weight 0; null doc_id has no label; a text
-with several labels is good if any says so; null labels are none; ties of the key go to
-the smaller doc_id; without good labels the models are equal and every text is kept; an
-empty table gives no row; other columns are ignored.
+digits, and each other sign; a word said twice running is one too).  A text's log weight
+is the sum of log(target / raw) over its n-grams; its score is that sum over (tokens +
+PRIOR), so that long texts do not win by length and very short ones stay near neutral.
+
+The sample is drawn by Gumbel top-k: the texts with the k largest keys, score /
+TEMPERATURE plus Gumbel noise, are a draw of k texts without replacement by the weights
+exp(score / TEMPERATURE).  At this temperature a text whose score is lower by 1 is 150
+times less likely, so the noise decides among texts near the edge of the sample, and
+which of them get in.  The sample size k is the caller's; by default it is the number of
+texts on the better side of the score that parts the good labels from the others best.
+
+Defined results: null text is empty, with log weight 0; null doc_id has no label, and
+its noise comes from its text; a text with several labels is good if any says so; null
+labels are none; ties of the key go to the smaller doc_id; without good labels the models
+are equal, and without both kinds of labels every text is kept; an empty table gives no
+row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +38,10 @@ SIZE = FAMILIES << BITS
 #: smallest digests of their doc_id.
 FIT_LABELS = 200_000
 #: Counts added to what the target model has and to what the raw model would lead one to
-#: expect there, so that rare n-grams stay neutral.
-ADDED = 10.0
-PRIOR, TEMPERATURE, CUT = 18.0, 0.01, -0.22
+#: expect there, so that rare n-grams stay neutral: some, and a share of all n-grams of the
+#: target, so that a larger target smooths as much.
+ADDED, ADDED_SHARE = 2.0, 1e-5
+PRIOR, TEMPERATURE = 18.0, 0.2
 SEED = 11
 
 
@@ -83,11 +89,16 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(out), np.bincount(row, minlength=n)
 
 
+def fit_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, good): at most FIT_LABELS labelled ids."""
+    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    return good.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(FIT_LABELS)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target / raw) of each n-gram bucket; raw is counted over every whole text."""
     C.tune(docs.sparkSession)
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    good = good.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(FIT_LABELS).filter("good = 1")
+    good = fit_labels(labels).filter("good = 1")
     # At most FIT_LABELS rows.
     marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.col("good").isNotNull().alias("good"))
     slices = 32
@@ -119,11 +130,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     ratio = np.zeros(SIZE)
     for f in range(FAMILIES):
         at = slice(f << BITS, (f + 1) << BITS)
-        expected = raw[at] / raw[at].sum() * target[at].sum()
-        ratio[at] = np.log((target[at] + ADDED) / (expected + ADDED))
+        n = target[at].sum()
+        expected, added = raw[at] / raw[at].sum() * n, ADDED + ADDED_SHARE * n
+        ratio[at] = np.log((target[at] + added) / (expected + added))
     return ratio
 
 
+def gumbel(ids: np.ndarray) -> np.ndarray:
+    """Standard Gumbel noise, a function of the id."""
+    return -np.log(-np.log(C.uniform(ids, SEED)))
+
+
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """The operator's first half: (doc_id, digest, n_tokens, log_weight, score, sample_key) of every text;
     digest, the text's xxhash64, tells rows of one doc_id apart."""
@@ -135,18 +152,51 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             row, bucket, n = features(data, offs)
             weight = np.round(np.bincount(row, ratio.value[bucket], minlength=rows.num_rows), 6)
             value = np.round(weight / (n + PRIOR), 9)
-            noise = C.uniform(rows.column(0).fill_null(-1).to_numpy().astype(np.int64).view(np.uint64), SEED)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), pa.array(weight), pa.array(value), pa.array(value / TEMPERATURE - np.log(-np.log(noise)))], names=["doc_id", "digest", "n_tokens", "log_weight", "score", "sample_key"])
+            ids = rows.column(0).fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)
+            digest = rows.column(2).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+            ids = np.where(rows.column(0).is_null().to_numpy(zero_copy_only=False), C.mix(digest), ids)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), pa.array(weight), pa.array(value), pa.array(value / TEMPERATURE + gumbel(ids))], names=["doc_id", "digest", "n_tokens", "log_weight", "score", "sample_key"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, digest long, n_tokens long, log_weight double, score double, sample_key double")
 
 
-def resample(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The operator: score() with `kept`, true for the k texts with the largest keys."""
+def parting(scores: np.ndarray, good: np.ndarray) -> float:
+    """The score that parts good texts from others with the least sum of both error rates:
+    the middle of the widest gap of those that do; -inf without both kinds."""
+    if good.all() or not good.any():
+        return float("-inf")
+    order = np.argsort(scores, kind="stable")
+    s, g = scores[order], good[order]
+    # Errors if the cut lies between s[i] and s[i + 1].
+    errors = np.cumsum(g)[:-1] / g.sum() + (1 - np.cumsum(~g)[:-1] / (~g).sum())
+    gap = np.diff(s)
+    errors = np.where(gap > 0, errors, np.inf)
+    if not np.isfinite(errors).any():
+        return float(s[0])
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
+    at = best[np.argmax(gap[best])]
+    return float((s[at] + s[at + 1]) / 2)
+
+
+def wanted(scored: DataFrame, labels: DataFrame) -> int:
+    """The default sample size."""
+    # At most FIT_LABELS rows, for each label and text.
+    rows = scored.join(F.broadcast(fit_labels(labels)), "doc_id").groupBy("doc_id", "digest").agg(F.max("score").alias("score"), F.max("good").alias("good")).limit(FIT_LABELS).toArrow()
+    cut = parting(rows.column("score").to_numpy(), rows.column("good").to_numpy() == 1)
+    return scored.filter(F.col("score") >= F.lit(cut)).count()
+
+
+def draw(scored: DataFrame, k: int) -> DataFrame:
+    """scored with `kept`, true for the k rows with the largest keys."""
+    rows = C.ranked(scored, [F.col("sample_key").desc(), F.col("doc_id").asc_nulls_last(), "digest"], "ranked")
+    return rows.select(*scored.columns, (F.col("rank") < k).alias("kept"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """The operator: score() with `kept`, true for the k texts drawn."""
     C.tune(docs.sparkSession)
-    scored = C.ranked(score(docs, fit(docs, labels)), [F.col("sample_key").desc(), F.col("doc_id").asc_nulls_last()], "scores")
-    k = scored.filter(F.col("score") >= cut).count()
-    return scored.select("doc_id", "digest", "n_tokens", "log_weight", "score", "sample_key", (F.col("rank") < k).alias("kept"))
+    scored = C.materialize(score(docs, fit(docs, labels)), "scores")
+    return draw(scored, wanted(scored, labels) if k is None else k)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
