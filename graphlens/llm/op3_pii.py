@@ -1,12 +1,16 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
-Base patterns find protected entities (e-mail, IP address, card, phone).  Over the whole
-corpus, words within CONTEXT words of an entity are counted with it: n(e, t), with the
-number of different surroundings as support, against the word's count n(t) and the
-entity's count n(e).  A word discloses an entity if P(e|t) = n(e,t) / n(t) reaches
-CONFIDENCE, the information gained, log2(P(e|t) / P(e)), reaches GAIN_BITS, and its
-support reaches SUPPORT.  Disclosing words become spans of kind `term` wherever they
-occur, unless they overlap a base span; sanitize() generalises all spans to their kind.
+Base patterns find e-mail, IP address, card and phone; a run of SECRET_CHARS or more
+characters of keys and tokens, with letters and digits and ENTROPY bits a character, is a
+secret.  These are the protected entities, each by its value and by its kind.  All
+probabilities are over documents: a word t is counted with an entity e, n(e,t), in each
+document where it stands within CONTEXT words of e at least once; n(t) and n(e) are the
+documents with t and with e.  A word discloses e if P(e|t) = n(e,t) / n(t) reaches
+CONFIDENCE, the information gained, log2(P(e|t) / P(e)), reaches GAIN_BITS, and the pair
+has SUPPORT different surroundings.  So a name that stands beside one address is found by
+the address's value, a word like `token` that announces secrets by their kind.
+Disclosing words become spans of kind `term` wherever they occur, unless they overlap
+another span; sanitize() generalises all spans to their kind.
 
 Defined results: null text is the empty text, without spans; repeated rows each count
 and each get a row; null doc_id is kept; an empty table gives no row; other columns are
@@ -18,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C
 
-KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, CONFIDENCE, GAIN_BITS = 5, 3, 0.5, 6.0
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4  # so many of them are of the base patterns
+CONTEXT, SUPPORT, CONFIDENCE, GAIN_BITS = 5, 3, 0.5, 2.0
+SECRET_CHARS, ENTROPY = 20, 3.0
 #: Up to so many disclosing words are broadcast; beyond, they are joined to documents.
 TERM_LIMIT = 1_000_000
 #: Columns added beside a caller's own ones.
@@ -40,6 +48,8 @@ _IP = re.compile(r"([0-9]++(?:\.[0-9]++){3})|[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+_KEY = re.compile(r"[A-Za-z0-9+/_-]++")
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +93,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(4, start, end) of secrets that overlap no base span."""
+    out = []
+    for m in _KEY.finditer(text):
+        word = m[0]
+        if len(word) < SECRET_CHARS or not _DIGIT.search(word) or not _LETTER.search(word):
+            continue
+        bits = -sum(n / len(word) * log2(n / len(word)) for n in Counter(word).values())
+        if bits >= ENTROPY and not any(x < m.end() and m.start() < y for _, x, y in base):
+            out.append((BASE, *m.span()))
+    return out
+
+
+def entity_spans(text: str) -> list[tuple[int, int, int]]:
+    """All protected entities, base ones first."""
+    base = base_spans(text)
+    return base + (secret_spans(text, base) if _DIGIT.search(text) else [])
+
+
 def _code_points(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """For each byte (and the end), the code points before it in all of data."""
     out = np.zeros(len(data) + 1, np.int64)
@@ -95,54 +124,55 @@ def _hash(text: str) -> int:
 
 
 def cooccurrence(docs: DataFrame) -> DataFrame:
-    """(entity, term, around) for each word near a base span, and a row with null term for
-    the span itself."""
+    """(entity, term, around) once a document for each word near an entity, and a row with
+    null term for the entity itself; an entity is a value or a kind, by its hash."""
     C.tune(docs.sparkSession)
+    kinds = [_hash(k) for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
             texts = rows.column(0).to_pylist()
-            found = [(i, s) for i, t in enumerate(texts) if t for s in base_spans(t)]
+            found = [(i, s) for i, t in enumerate(texts) if t for s in entity_spans(t)]
             if not found:
                 continue
             row, start, end, h = C.words(data, offs)
             points = _code_points(data, offs)
             start, end = points[start] - points[offs[row]], points[end] - points[offs[row]]
             bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-            entity, term, around = [], [], []
+            pairs: dict[tuple, int] = {}
             for i, (kind, a, b) in found:
                 lo, hi = bounds[i], bounds[i + 1]
                 left = lo + int(np.searchsorted(end[lo:hi], a, "right"))
                 right = lo + int(np.searchsorted(start[lo:hi], b, "left"))
                 near = np.r_[h[max(lo, left - CONTEXT) : left], h[right : min(hi, right + CONTEXT)]] >> C.U64(64 - C.TERM_BITS)
-                e = _hash(f"{KINDS[kind]}:{texts[i][a:b].lower()}")
-                context = _hash(near.tobytes().hex())
-                entity.append(e)
-                term.append(None)
-                around.append(context)
-                for t in set(near.tolist()):
-                    entity.append(e)
-                    term.append(t)
-                    around.append(context)
-            yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(term, pa.int64()), pa.array(around, pa.int64())], names=["entity", "term", "around"])
+                around = _hash(near.tobytes().hex())
+                for e in (kinds[kind], _hash(f"{KINDS[kind]}:{texts[i][a:b].lower()}")):
+                    for t in (None, *near.tolist()):
+                        pairs.setdefault((i, e, t), around)
+            _, entity, term = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(term, pa.int64()), pa.array(pairs.values(), pa.int64())], names=["entity", "term", "around"])
 
     return docs.select("text").mapInArrow(run, "entity long, term long, around long")
 
 
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """(term, gain): words that disclose some entity, by the thresholds above."""
+def disclosures(docs: DataFrame) -> DataFrame:
+    """(entity, term, n_et, n_t, n_e, support, share, gain) of every word near an entity in
+    SUPPORT surroundings, over all documents."""
     pairs = C.materialize(cooccurrence(docs).groupBy("entity", "term", "around").agg(F.count("*").alias("n")), "pairs")
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("support"))
     entities = pairs.filter("term is null").select("entity", F.col("n_et").alias("n_e"))
     likely = pairs.filter(F.col("term").isNotNull() & (F.col("support") >= SUPPORT))
-    counts = C.term_counts(docs, distinct=False)
-    # P(e) is over all places where a word can stand: the corpus's words, counted above.
-    counts = C.materialize(counts, "counts")
-    places = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n + 1
+    counts = C.term_counts(docs, distinct=True).withColumnRenamed("n", "n_t")
+    total = docs.count()
     joined = likely.join(counts, "term").join(entities, "entity")
-    share = F.least(F.col("n_et") / F.col("n"), F.lit(1.0))
-    gain = F.log2(share / (F.col("n_e") / F.lit(float(places))))
-    return joined.filter((share >= CONFIDENCE) & (gain >= GAIN_BITS)).groupBy("term").agg(F.max(gain).alias("gain"))
+    share = F.col("n_et") / F.col("n_t")
+    return joined.withColumn("share", share).withColumn("gain", F.log2(share / (F.col("n_e") / F.lit(float(max(total, 1))))))
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """(term, gain): words that disclose some entity, by the thresholds above."""
+    found = disclosures(docs).filter((F.col("share") >= CONFIDENCE) & (F.col("gain") >= GAIN_BITS))
+    return found.groupBy("term").agg(F.max("gain").alias("gain"))
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, object]:
@@ -166,7 +196,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, object]:
 
 
 def _all_spans(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, own: list, known: np.ndarray) -> Iterator[tuple[str, list, list]]:
-    """(text, base spans, term spans) of each row; own: its words to look for, or None."""
+    """(text, entities, term spans) of each row; own: its words to look for, or None."""
     row, start, end, h = C.words(data, offs)
     term = h >> C.U64(64 - C.TERM_BITS)
     hit = C.lookup(known, term) >= 0
@@ -180,7 +210,7 @@ def _all_spans(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, own: li
     bounds = np.searchsorted(row, np.arange(rows.num_rows + 1))
     for i, text in enumerate(rows.column(rows.schema.get_field_index("text")).to_pylist()):
         text = text or ""
-        base = base_spans(text)
+        base = entity_spans(text)
         extra = [("term", a, b) for a, b in zip(start[bounds[i] : bounds[i + 1]].tolist(), end[bounds[i] : bounds[i + 1]].tolist(), strict=True) if not any(x < b and a < y for _, x, y in base)]
         yield text, base, extra
 
@@ -190,21 +220,24 @@ def _written(spans: list) -> str:
 
 
 def find(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The operator: all spans of every text, as the contract's columns and n_term."""
+    """The operator: all spans of every text, as the contract's columns, then n_secret,
+    n_term and n_spans."""
     C.tune(docs.sparkSession)
     docs, known = _with_terms(docs.select("doc_id", "text"), terms)
+    names = ["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans", "n_secret", "n_term", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
             out = []
-            for _, base, extra in _all_spans(rows, data, offs, rows.column(2).to_pylist(), known.value):
-                named = [(KINDS[k], a, b) for k, a, b in base]
-                count = [sum(k == j for k, _, _ in base) for j in range(4)]
-                out.append((*count, hashlib.sha256(_written(named).encode()).hexdigest(), _written(named + extra), len(extra)))
+            for _, found, extra in _all_spans(rows, data, offs, rows.column(2).to_pylist(), known.value):
+                named = [(KINDS[k], a, b) for k, a, b in found]
+                count = [sum(k == j for k, _, _ in found) for j in range(len(KINDS))]
+                base = _written(named[: sum(count[:BASE])])
+                out.append((*count[:BASE], hashlib.sha256(base.encode()).hexdigest(), _written(named + extra), count[BASE], len(extra), len(found) + len(extra)))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4]), pa.array(cols[5]), pa.array(cols[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(names[1:], cols, strict=True))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
+    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_term long, n_spans long")
 
 
 def sanitize(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -235,4 +268,4 @@ def sanitize(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.tune(spark)
     docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return find(docs, disclosing_terms(docs)).drop("n_term")
+    return find(docs, disclosing_terms(docs))
