@@ -1,12 +1,16 @@
 """Main-text extraction by minimum cut.
 
 A page is split at block-level tags into text blocks with their open containers.  A
-linear classifier gives each block a cost of calling it content or boilerplate; the
-costs are the capacities from the source and to the sink.  Neighbouring blocks, and
-blocks that follow each other in one container, are joined by smoothness edges, weaker
-across containers of different standing.  The minimum cut, found by maximum flow
-(Dinic), separates content from boilerplate.  Scripts, styles, comments and form
-controls never become blocks.
+linear classifier gives each block a cost of calling it content or boilerplate, from its
+text (length, sentence ends, links, copyright signs), from where it stands (elements with
+a meaning in HTML; outside the page's article; in an article within an article, or in one
+without a heading beside a longer one, as readers' comments are) and, as one piece of
+evidence more, from what its containers are named.  The costs are the capacities from the
+source and to the sink.  Neighbouring blocks, and blocks that follow each other in one
+container, are joined by smoothness edges, weaker across containers of different
+standing: a block of weak evidence goes with those around it.  The minimum cut, found by
+maximum flow (Dinic), separates content from boilerplate.  Scripts, styles, comments and
+form controls never become blocks.
 
 Defined results: null or empty html, and html without content, give the empty text with
 n_chars 0; repeated rows each get a row; null page_id and url are kept; very long pages
@@ -62,19 +66,24 @@ _PEERS = {
 
 #: What containers say: log-odds of content, in hundredths.
 _TAG_COST = {"article": 250, "main": 200, "nav": -600, "footer": -500, "aside": -500, "form": -500, "menu": -500, "dialog": -500, "header": -150, "fieldset": -300, "title": -900}
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|side-?bar|widget|footer|foot|masthead|header|cookies?|consent|notice|alert|gdpr|newsletter|subscri\w*|sign-?up|login|share|sharing|social|related|recommend\w*|popular|trending|comments?|commentlist|replies|reply|disqus|respond|pagination|pager|tags|popup|modal|overlay|toolbar|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
-#: Articles of their own that are none of the page: comments, adverts, teasers.
-_OTHER_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|reply|replies|respond|ads?|advert\w*|sponsor\w*|promo\w*|related|teaser|widget|recommend\w*)(?:$|[\s_-])", re.I)
+#: Names of what is no content, wherever it stands, and names that content may have too.
+_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|widget|footer|masthead|cookies?|consent|gdpr|newsletter|subscri\w*|sign-?up|login|share|sharing|social|related|recommend\w*|popular|trending|comments?|commentlist|comment-\w+|replies|reply|disqus|respond|pagination|pager|popup|modal|toolbar)(?:$|[\s_-])", re.I)
+_WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:banner|foot|header|notice|alert|overlay|tags|teaser|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"))
-ADJACENT, SAME_BOX = 40, 120
+BAD_NAME, WEAK_NAME, GOOD_NAME = -450, -150, 100
+#: What text and place say.
+OUTSIDE, NESTED, HEADLESS, SIGN = -350, -600, -500, -300
+_SIGN = re.compile(r"[©®™]|\(c\) ?[12][0-9]{3}", re.I)
+_HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ADJACENT, SAME_BOX = 60, 160
 
 
 class Block:
-    __slots__ = ("box", "links", "parts", "path_cost", "tag")
+    __slots__ = ("article", "box", "depth", "links", "parts", "path_cost", "tag")
 
-    def __init__(self, tag: str, box: int, path_cost: int):
-        self.tag, self.box, self.path_cost = tag, box, path_cost
+    def __init__(self, tag: str, box: int, path_cost: int, article: int = 0, depth: int = 0):
+        self.tag, self.box, self.path_cost, self.article, self.depth = tag, box, path_cost, article, depth
         self.parts: list[str] = []
         self.links = 0
 
@@ -84,14 +93,16 @@ def _name_cost(tag: str, attrs: str) -> int:
     if attrs:
         for m in _ATTR.finditer(attrs):
             name = m[1] or m[2] or m[3] or ""
-            if tag in ("article", "main"):
-                cost -= 900 if _OTHER_NAME.search(name) else 0
-            elif tag in ("body", "html"):
+            if tag in ("body", "html"):
                 continue
-            elif name.lower() in _BAD_ROLE or _BAD_NAME.search(name):
-                cost -= 500
+            if name.lower() in _BAD_ROLE or _BAD_NAME.search(name):
+                cost += BAD_NAME * (1 + (tag in ("article", "main")))
+            elif tag in ("article", "main"):
+                continue
+            elif _WEAK_NAME.search(name):
+                cost += WEAK_NAME
             elif _GOOD_NAME.search(name):
-                cost += 100
+                cost += GOOD_NAME
     return cost
 
 
@@ -122,10 +133,10 @@ def _ended(tag: str, names: list[str]) -> int:
     return at
 
 
-def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
-    """(tag, text, box number, path cost, share of link text) of each block with text."""
+def blocks(page: str) -> list[tuple[Block, str, float]]:
+    """(block, text, share of link text) of each block with text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # element, its box, cost of the path
+    stack: list[tuple[str, int, int, int, int]] = []  # element, its box, cost of the path, article and how deep
     boxes = 0
     current = Block("", 0, 0)
     in_link = skip = at = 0
@@ -137,8 +148,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
         nonlocal current
         if current.parts:
             out.append(current)
-        _, box, cost = stack[-1] if stack else ("", 0, 0)
-        current = Block(tag, box, cost)
+        current = Block(tag, *(stack[-1][1:] if stack else (0, 0, 0, 0)))
 
     while at < n:
         lt = page.find("<", at)
@@ -245,10 +255,9 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
             in_link = 1
         elif tag in _BLOCK:
             if tag not in _VOID and not m[2].endswith("/"):
-                _, box, cost = stack[-1] if stack else ("", 0, 0)
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                     stack.pop()  # these end with the next of their kind
-                    _, box, cost = stack[-1] if stack else ("", 0, 0)
+                box, cost, article, depth = stack[-1][1:] if stack else (0, 0, 0, 0)
                 if tag in _BOX:
                     boxes += 1
                     box = boxes
@@ -257,7 +266,9 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
                     cost += _name_cost(tag, m[2])
                 elif m[2]:
                     cost += _name_cost(tag, m[2])
-                stack.append((tag, box, cost))
+                if tag in ("article", "main"):
+                    article, depth = boxes, depth + (tag == "article")
+                stack.append((tag, box, cost, article, depth))
             close(tag)
     close("")
     done = []
@@ -265,25 +276,52 @@ def blocks(page: str) -> list[tuple[str, str, int, int, float]]:
         raw = "".join(b.parts)
         text = " ".join(_html.unescape(raw).split())
         if text:
-            done.append((b.tag, text, b.box, b.path_cost, b.links / max(1, len(raw))))
+            done.append((b, text, b.links / max(1, len(raw))))
     return done
 
 
 def unary(tag: str, text: str, path_cost: int, link_share: float) -> int:
-    """Log-odds that a block is content, in hundredths."""
+    """Log-odds that a block is content by its own text and containers, in hundredths."""
     size = text.count(" ") + 1
     cost = path_cost + min(size, 60) * 4 - 40
     if text[-1] in ".!?:;\"'”…)":
         cost += 40
     if link_share > 0.3:
         cost -= int(300 * link_share)
-    if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"):
+    if tag in _HEADING or tag in ("blockquote", "pre", "figcaption"):
         cost += 60
     if tag == "li" and size < 4:
         cost -= 60
+    if size < 40 and _SIGN.search(text):
+        cost += SIGN
     return cost
 
 
+def scored(parts: list[tuple[Block, str, float]]) -> list[int]:
+    """unary() of every block, and what its place among the others says."""
+    scores = [unary(b.tag, text, b.path_cost, links) for b, text, links in parts]
+    words, headed = {}, set()
+    for (b, text, _), score in zip(parts, scores, strict=True):
+        if score > 0 or not b.article:
+            words[b.article] = words.get(b.article, 0) + text.count(" ") + 1
+        if b.tag in _HEADING:
+            headed.add(b.article)
+    inside = {a: n for a, n in words.items() if a}
+    if not inside:
+        return scores
+    largest = max(inside.values())
+    # Articles with much less text than lies outside are teasers, above all without a heading.
+    framed = sum(inside.values()) * (8 if headed & inside.keys() else 2) >= words.get(0, 0)
+    for i, (b, _, _) in enumerate(parts):
+        if not b.article:
+            scores[i] += OUTSIDE * framed
+        elif b.depth > 1:
+            scores[i] += NESTED
+        elif b.article not in headed and 2 * inside.get(b.article, 0) < largest:
+            scores[i] += HEADLESS
+    return scores
+
+
 def min_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut.  A positive score is the
     capacity from the source, a negative one that to the sink; edges (u, v, capacity)
@@ -349,20 +387,26 @@ def min_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
                 break
 
 
+def neighbours(parts: list[tuple[Block, str, float]]) -> list[tuple[int, int, int]]:
+    """Smoothness edges (block, block, capacity)."""
+    edges, last = [], {}
+    for i, (b, _, _) in enumerate(parts):
+        if i:
+            alike = abs(parts[i - 1][0].path_cost - b.path_cost) < 200 and parts[i - 1][0].article == b.article
+            edges.append((i - 1, i, ADJACENT if alike else ADJACENT // 8))
+        if b.box in last:
+            edges.append((last[b.box], i, SAME_BOX))
+        last[b.box] = i
+    return edges
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     parts = blocks(page) if page else []
     if not parts:
         return ""
-    scores = [unary(tag, text, cost, links) for tag, text, _, cost, links in parts]
-    edges, last = [], {}
-    for i, (_, _, box, cost, _) in enumerate(parts):
-        if i:
-            edges.append((i - 1, i, ADJACENT if abs(parts[i - 1][3] - cost) < 200 else ADJACENT // 8))
-        if box in last:
-            edges.append((last[box], i, SAME_BOX))
-        last[box] = i
-    return "\n\n".join(p[1] for p, keep in zip(parts, min_cut(scores, edges), strict=True) if keep)
+    kept = min_cut(scored(parts), neighbours(parts))
+    return "\n\n".join(text for (_, text, _), keep in zip(parts, kept, strict=True) if keep)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,15 @@
+import html
 import itertools
+import os
 import random
+import re
+
+import pyarrow.parquet as pq
+import pytest
 
 from graphlens.llm import op10_html as op
 
+DATA = "/root/testdata/sf0.001"
 PAGE = """<!DOCTYPE html><html><head><title>Site &amp; title</title><meta charset=utf-8><style>p{}</style>
 <script>var a = "</p><p>not text</p>";</script></head><body class="blog">
 <header class="site-header"><a href=/>Home</a><h2>My site</h2></header>
@@ -41,6 +48,48 @@ def test_comments_as_articles():
     assert op.extract(page) == "A title of it\n\nThe text of the article itself, in a sentence."
 
 
+def unnamed(page):
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_names_do_not_decide():
+    assert unnamed(PAGE) != PAGE and op.extract(unnamed(PAGE)) == op.extract(PAGE)
+    page = "<body><article><h1>A title of it</h1><p>The text of the article itself, in a sentence.</p><p>And one more of them, so that it is longer than what readers say.</p>{}</article>{}</body>"
+    want = "A title of it\n\nThe text of the article itself, in a sentence.\n\nAnd one more of them, so that it is longer than what readers say."
+    comment = "<article><p>I liked it very much, thank you.</p></article>"
+    assert op.extract(page.format("", "")) == want
+    assert op.extract(page.format(comment, "")) == want  # an article in an article
+    assert op.extract(page.format("", f"<section>{comment * 3}</section>")) == want  # articles without a heading
+    assert op.extract(page.format("", "<p>&copy; 2024 The company and all its many friends.</p>")) == want
+    for name in ("legal", "notice", "post-header"):
+        kept = f"<div class='{name}'>What the law says of this is told in a sentence here.</div>"
+        assert op.extract(page.format(kept, "")) == f"{want}\n\nWhat the law says of this is told in a sentence here."
+
+
+def test_the_cut_decides_where_evidence_is_weak():
+    """Blocks whose own cost says otherwise go with their container."""
+    page = "<body><div>" + "<p>A paragraph of text that has a good many words, and so on it goes.</p>" * 4 + "<p>Two words</p>" + "<p>A paragraph of text that has a good many words, and so on it goes.</p>" * 4 + "</div></body>"
+    parts = op.blocks(page)
+    scores = op.scored(parts)
+    assert scores[4] < 0 and all(op.min_cut(scores, op.neighbours(parts)))
+    assert not op.min_cut(scores, [])[4]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pages_without_names_keep_their_text():
+    pages = pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist()
+    assert all(op.extract(unnamed(p or "")) == op.extract(p) for p in pages)
+
+
+def test_main_text_of_the_test_pages():
+    """The article of each page, taken by plain regular expressions."""
+    pages = pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist() if os.path.isdir(DATA) else []
+    for page in pages:
+        body = re.search("<article>(.*?)</article>", page, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", body)]
+        assert op.extract(page) == "\n\n".join(x for x in parts if x)
+
+
 def cost(scores, edges, side):
     return sum(max(0, x) if not s else max(0, -x) for x, s in zip(scores, side, strict=True)) + sum(c for u, v, c in edges if side[u] != side[v])
 

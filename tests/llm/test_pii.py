@@ -76,7 +76,7 @@ def plain_disclosures(rows):
     near, at, docs_of = {}, {}, {}
     for k, (_, text, _) in enumerate(rows):
         text = text or ""
-        words = [(m.start(), m.end(), fold(m[0])) for m in tokens.finditer(text)]
+        words = [(m.start(), m.end(), fold(m[0])) for m in tokens.finditer(fold(text))]
         for w in words:
             docs_of.setdefault(w[2], set()).add(k)
         for kind, a, b in op.entity_spans(text):
