@@ -1,18 +1,22 @@
-"""Exact repeats of LENGTH bytes, by suffix arrays of Lyndon groups.
+"""Exact repeats of LENGTH bytes, and of WORDS words, by suffix arrays of Lyndon groups.
 
-Every string of LENGTH bytes (a window) is named by its least GRAM-byte hash, the
+Every string of LENGTH symbols (a window) is named by its least hash of GRAM symbols, the
 anchor, so equal windows have equal anchors at equal places.  A run is the windows of a
-text that share one anchor occurrence; runs that are equal byte for byte repeat whole.
+text that share one anchor occurrence; runs with equal symbols repeat whole.
 Runs whose anchor occurs in other surroundings too are cut into units of UNIT windows:
-what all windows of a unit share, its core, becomes one symbol, and the bytes before and
-after it stay symbols.  Units with one core meet in one task, where a suffix array over
-their symbols puts equal windows side by side.  It is built by linear grouping: groups
-of suffixes are taken in descending order, and through pointers to the previous smaller
-suffix each extends the Lyndon prefix of those before it; then one ascending pass emits
-every group's order from that of the next smaller suffixes, without renaming.
-
-A core shared by more than BOUND units is refined to units of one window first, which
-are counted by Spark, so that no task gets an unbounded group.
+what all windows of a unit share, its core, becomes one symbol, and the symbols before
+and after it stay symbols.  Units with one core meet in one task, where a suffix array
+over their symbols puts equal windows side by side.  It is built by linear grouping:
+groups of suffixes are taken in descending order, and through pointers to the previous
+smaller suffix each extends the Lyndon prefix of those before it; then one ascending pass
+emits every group's order from that of the next smaller suffixes, without renaming.
+
+A core shared by more than BOUND units would make a large task; such units are halved,
+which gives each half a longer core, until the groups are small enough or a unit is one
+window, all of whose group are equal.  Symbols are bytes, or words (A-Z folded, by 64-bit
+hashes) for passages that repeat with other spacing or signs between their words.  Runs
+and cores count as equal if the 128-bit digests of their symbols are; what lies around
+cores is compared itself.
 
 Defined results: null text is empty; a text of fewer than LENGTH bytes keeps all bytes;
 repeated rows repeat each other; null doc_id is kept; an empty table gives no row; other
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +40,24 @@ GRAM = 50
 UNIT = 32
 BOUND = 10_000
 SYMBOLS = 100_000
-BASE2 = 0xA0761D6478BD642F | 1
 SEGMENT = 1 << 18
 _POS = C.U64((1 << 24) - 1)
 
 
+class Scale(NamedTuple):
+    """What repeats: strings of `length` symbols, with anchors of `gram` symbols, in units of
+    `unit` windows, a power of two; `symbol` is the type of a symbol beside a core."""
+
+    length: int
+    gram: int
+    unit: int
+    symbol: str
+
+
+BYTES = Scale(LENGTH, GRAM, UNIT, "<i2")
+WORDS = Scale(50, 10, 8, "<i8")
+
+
 # --- Suffix arrays ---------------------------------------------------------------------
 
 
@@ -131,8 +149,8 @@ def suffix_array(s: list[int]) -> list[int]:
 
 
 def repeated_windows(units: list[list[int]], width: int = 0) -> list[list[bool]]:
-    """For each unit (2 * width - 1 symbols, negative outside a text), which of its width
-    windows of width symbols also occurs in another unit."""
+    """For each unit (2 * width - 1 symbols, -1 outside a text), which of its width windows
+    of width symbols also occurs in another unit."""
     width = width or UNIT
     text: list[int] = []
     for u in units:
@@ -146,7 +164,7 @@ def repeated_windows(units: list[list[int]], width: int = 0) -> list[list[bool]]
             last = -1
             continue
         key = text[i : i + width]
-        if last >= 0 and key == last_key and key[0] >= 0 and key[-1] >= 0:
+        if last >= 0 and key == last_key and key[0] != -1 and key[-1] != -1:
             found[i // span][i % span] = found[last // span][last % span] = True
         last, last_key = i, key
     return found
@@ -160,31 +178,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("k2"), "doc_id", "text")
 
 
-def _sums(data: np.ndarray, base: int, odd: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(odd[data] * C.powers(len(data), base)[0], out=out[1:])
-    return out
+def _symbols(data: np.ndarray, offs: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, their hashes, cuts between texts)."""
+    if scale.symbol == "<i2":
+        return data, C._tables()[0][data], offs
+    row, _, _, h = C.words(data, offs)
+    return h, h, np.searchsorted(row, np.arange(len(offs)))
 
 
-def _hash(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return C.mix((sums[end] - sums[start]) * C.powers(len(sums), base)[1][start])
+def _digests(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    raw, k = memoryview(np.ascontiguousarray(symbols)).cast("B") if len(symbols) else b"", symbols.itemsize
+    return [hashlib.md5(raw[a:b]).digest() for a, b in zip((start * k).tolist(), (end * k).tolist(), strict=True)]
 
 
-def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window, hash of the anchor, hash of the run's bytes)
-    of a text's runs of windows with one anchor."""
+def runs(values: np.ndarray, scale: Scale = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window, hash of the anchor) of a text's runs of windows
+    with one anchor; values are the hashes of its symbols."""
+    length, gram = scale.length, scale.gram
     parts = []
-    windows = len(data) - LENGTH + 1
-    odd, _, _ = C._tables()
+    windows = len(values) - length + 1
     for lo in range(0, max(windows, 0), SEGMENT):
         hi = min(windows, lo + SEGMENT)
-        piece = data[lo : hi + LENGTH - 1]
-        sums = _sums(piece, C.BASE, odd)
-        at = np.arange(len(piece) - GRAM + 1)
-        gram = _hash(sums, C.BASE, at, at + GRAM)
-        low = (gram & ~_POS) | at.astype(np.uint64)
-        # The least of LENGTH - GRAM + 1 keys from each place on, by doubling.
-        width, step = LENGTH - GRAM + 1, 1
+        piece = values[lo : hi + length - 1]
+        up, down = C.powers(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * up[:-1], out=sums[1:])
+        at = np.arange(len(piece) - gram + 1)
+        grams = C.mix((sums[gram:] - sums[:-gram]) * down[: len(at)])
+        low = (grams & ~_POS) | at.astype(np.uint64)
+        # The least of length - gram + 1 keys from each place on, by doubling.
+        width, step = length - gram + 1, 1
         while 2 * step <= width:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
@@ -194,41 +217,45 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         last = np.r_[first[1:], len(anchor)] - 1
         a = anchor[first]
-        parts.append((a + lo, first + lo, last + lo, gram[a], _hash(_sums(piece, BASE2, odd), BASE2, first, last + LENGTH)))
+        parts.append((a + lo, first + lo, last + lo, grams[a]))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64)
-    a, s, e, gram, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return z, z, z, z.view(np.uint64)
+    a, s, e, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
     # A run that goes on in the next segment is one run.
     first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
     last = np.r_[first[1:], len(a)] - 1
-    a, s, e, gram, body = a[first], s[first], e[last], gram[first], body[first]
-    for i in np.flatnonzero(last > first).tolist():
-        piece = data[s[i] : e[i] + LENGTH]
-        body[i] = _hash(_sums(piece, BASE2, odd), BASE2, np.array([0]), np.array([len(piece)]))[0]
-    return a, s, e, gram, body
+    return a[first], s[first], e[last], grams[first]
 
 
-def _runs_of(docs: DataFrame) -> DataFrame:
+def _runs_of(docs: DataFrame, scale: Scale) -> DataFrame:
     """(k1, k2, a, ds, de, class, body): ds and de are the anchor's place in the first and
-    the last window of the run."""
+    the last window of the run, body the digest of the run's symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
-            out = [runs(data[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            which = pa.array(np.repeat(np.arange(len(out)), [len(x[0]) for x in out]))
-            a, s, e, gram, body = (np.concatenate(x) for x in zip(*out, strict=True))
+            symbols, values, cuts = _symbols(data, offs, scale)
+            cuts = cuts.tolist()
+            out = [runs(values[x:y], scale) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            own = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
+            a, s, e, gram = (np.concatenate(x) for x in zip(*out, strict=True))
+            base = np.array(cuts[:-1])[own]
+            body = _digests(symbols, base + s, base + e + scale.length)
+            which = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(which), rows.column(1).take(which), pa.array(a), pa.array((a - s).astype(np.int16)), pa.array((a - e).astype(np.int16)), pa.array(gram.view(np.int64)), pa.array(body.view(np.int64))],
+                [rows.column(0).take(which), rows.column(1).take(which), pa.array(a), pa.array((a - s).astype(np.int16)), pa.array((a - e).astype(np.int16)), pa.array(gram.view(np.int64)), pa.array(body, pa.binary())],
                 names=["k1", "k2", "a", "ds", "de", "class", "body"],
             )
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, a long, ds short, de short, class long, body long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, a long, ds short, de short, class long, body binary")
 
 
 # --- Units -----------------------------------------------------------------------------
 
-UNITS = "u1 long, u2 long, sides binary, k1 long, k2 long, at long, alone boolean"
+COLUMNS = ["u1", "u2", "sides", "k1", "k2", "at", "alone"]
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+UNITS = "u1 long, u2 binary, sides binary, k1 long, k2 long, at long, alone boolean"
+RANGES = [("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
 
 
 def _arrow(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -236,100 +263,113 @@ def _arrow(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def _units_of(rows: DataFrame) -> DataFrame:
+def _units_of(rows: DataFrame, scale: Scale) -> DataFrame:
     """(u1, u2, sides, k1, k2, at, alone): the units of the runs in `found`; sides are the
-    bytes before and after the core as 16-bit symbols, -1 outside the text."""
+    symbols before and after the core, -1 outside the text."""
+    length, unit = scale.length, scale.unit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd, _, _ = C._tables()
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
             for k1, k2, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                sums = _sums(data, BASE2, odd)
+                symbols, _, _ = _symbols(data, np.array([0, len(data)]), scale)
                 a, ds, de, gram, alone = (np.array(x) for x in zip(*(tuple(f.values()) for f in found), strict=True))
-                lo = de // UNIT
-                n = ds // UNIT - lo + 1
+                lo = de // unit
+                n = ds // unit - lo + 1
                 block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 gram, alone = np.repeat(gram, n), np.repeat(alone, n)
-                at = np.repeat(a, n) - UNIT * block - (UNIT - 1)  # the unit's first window
-                core = _hash(sums, BASE2, at + UNIT - 1, at + LENGTH)
-                pad = np.full(len(data) + 2 * UNIT, -1, np.int16)
-                pad[UNIT : UNIT + len(data)] = data
-                side = np.arange(UNIT, 2 * UNIT - 1)
-                sides = np.concatenate([pad[at[:, None] + side], pad[(at + LENGTH)[:, None] + side]], 1).astype("<i2")
+                at = np.repeat(a, n) - unit * block - (unit - 1)  # the unit's first window
+                core = _digests(symbols, at + unit - 1, at + length)
+                pad = np.full(len(symbols) + 2 * unit, -1, scale.symbol)
+                pad[unit : unit + len(symbols)] = symbols if symbols.itemsize == 1 else symbols >> C.U64(1)
+                side = np.arange(unit, 2 * unit - 1)
+                sides = np.concatenate([pad[at[:, None] + side], pad[(at + length)[:, None] + side]], 1)
                 u = C.mix(gram.astype(np.int64).view(np.uint64) * C.U64(0xD6E8FEB86659FD93) + block.astype(np.uint64))
-                columns = (u.view(np.int64), core.view(np.int64), [x.tobytes() for x in sides], [k1] * len(at), [k2] * len(at), at, alone)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["u1", "u2", "sides", "k1", "k2", "at", "alone"])
+                columns = (u.view(np.int64), core, [x.tobytes() for x in sides], [k1] * len(at), [k2] * len(at), at, alone)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=COLUMNS)
 
     return rows.select("k1", "k2", "text", "found").mapInArrow(run, UNITS)
 
 
-def _spans(flags: list[bool], at: int) -> list[tuple[int, int]]:
-    """Byte ranges covered by the windows that are flagged, the first starting at `at`."""
+def _halved(units: DataFrame, width: int, symbol: str) -> DataFrame:
+    """Units of width / 2 windows, whose cores are longer by what their windows share; those
+    without a window in the text go."""
+    half = width // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for u1, u2, sides, *row, at, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(sides, symbol)
+                left, right = v[: width - 1], v[width - 1 :]
+                for t, more, around in ((0, left[half - 1 :], (left[: half - 1], right[: half - 1])), (half, right[:half], (left[half:], right[half:]))):
+                    if (more >= 0).all():
+                        core = hashlib.md5(bytes([width, t]) + u2 + more.tobytes()).digest()
+                        out.append((u1, core, np.concatenate(around).tobytes(), *row, at + t, alone))
+            yield _arrow(out, list(zip(COLUMNS, _KINDS, strict=True)))
+
+    return units.select(*COLUMNS).mapInArrow(run, UNITS)
+
+
+def _spans(flags: list[bool], at: int, length: int) -> list[tuple[int, int]]:
+    """Ranges covered by the windows that are flagged, the first starting at `at`."""
     out, t = [], 0
     while t < len(flags):
         if flags[t]:
             e = t
             while e + 1 < len(flags) and flags[e + 1]:
                 e += 1
-            out.append((at + t, at + e + LENGTH))
+            out.append((at + t, at + e + length))
             t = e
         t += 1
     return out
 
 
-def _inside(sides: bytes) -> list[bool]:
-    """Which windows of a unit lie in the text."""
-    s = np.frombuffer(sides, "<i2")
-    return (np.r_[s[: UNIT - 1] >= 0, True] & np.r_[True, s[UNIT - 1 :] >= 0]).tolist()
-
-
-RANGES = [("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
-
-
 class _Matcher:
     """Gathers groups of units with one core, and solves many groups in one suffix array."""
 
-    def __init__(self) -> None:
+    def __init__(self, scale: Scale, width: int) -> None:
+        self.length, self.symbol, self.width = scale.length, scale.symbol, width
         self.out: list[tuple] = []
         self.waiting: list[list[tuple[bytes, list]]] = []
         self.size = 0
 
     def add(self, group: dict[bytes, list]) -> None:
         for sides, rows in group.items():
-            if len(rows) > 1:  # equal units: all their windows repeat
-                self.take(rows, _inside(sides))
+            if len(rows) > 1:  # equal units: all their windows in the text repeat
+                s = np.frombuffer(sides, self.symbol)
+                inside = np.r_[s[: self.width - 1] >= 0, True] & np.r_[True, s[self.width - 1 :] >= 0]
+                self.take(rows, inside.tolist())
         single = [rows[0][3] for rows in group.values() if len(rows) == 1]
         if len(group) > 1 and any(single):
             self.waiting.append([(sides, rows if len(rows) == 1 else []) for sides, rows in group.items()])
-            self.size += len(group) * 2 * UNIT
+            self.size += len(group) * 2 * self.width
             if self.size >= SYMBOLS:
                 self.solve()
 
     def take(self, rows: list, flags: list[bool]) -> None:
         for k1, k2, at, alone in rows:
             if alone:
-                self.out.extend((k1, k2, a, b) for a, b in _spans(flags, at))
+                self.out.extend((k1, k2, a, b) for a, b in _spans(flags, at, self.length))
 
     def solve(self) -> None:
         symbols, owners = [], []
         for core, group in enumerate(self.waiting):
             for sides, rows in group:
-                v = np.frombuffer(sides, "<i2").tolist()
-                symbols.append([*v[: UNIT - 1], 256 + core, *v[UNIT - 1 :]])
+                v = np.frombuffer(sides, self.symbol).tolist()
+                symbols.append([*v[: self.width - 1], -3 - core, *v[self.width - 1 :]])
                 owners.append(rows)
         if symbols:
-            for flags, rows in zip(repeated_windows(symbols), owners, strict=True):
+            for flags, rows in zip(repeated_windows(symbols, self.width), owners, strict=True):
                 self.take(rows, flags)
         self.waiting, self.size = [], 0
 
 
-def _matched(units: DataFrame) -> DataFrame:
-    """(k1, k2, start, end): bytes of the units' windows that occur elsewhere too."""
+def _matched(units: DataFrame, scale: Scale, width: int) -> DataFrame:
+    """(k1, k2, start, end): symbols of the units' windows that occur elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, at, group = _Matcher(), None, {}
+        matcher, at, group = _Matcher(scale, width), None, {}
         for batch in batches:
             for u1, u2, sides, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (u1, u2) != at:
@@ -343,26 +383,7 @@ def _matched(units: DataFrame) -> DataFrame:
         matcher.solve()
         yield _arrow(matcher.out, RANGES)
 
-    return units.repartition("u1", "u2").sortWithinPartitions("u1", "u2").mapInArrow(run, "k1 long, k2 long, start long, end long")
-
-
-def _refined(units: DataFrame) -> DataFrame:
-    """As _matched, by units of one window, which Spark counts."""
-    schema = [("window", pa.binary()), *RANGES, ("alone", pa.bool_())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for u1, u2, sides, k1, k2, at, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head = u1.to_bytes(8, "big", signed=True) + u2.to_bytes(8, "big", signed=True)
-                for t, ok in enumerate(_inside(sides)):
-                    if ok:
-                        out.append((hashlib.md5(head + bytes([t]) + sides[2 * t : 2 * (UNIT - 1 + t)]).digest(), k1, k2, at + t, at + t + LENGTH, alone))
-            yield _arrow(out, schema)
-
-    windows = units.mapInArrow(run, "window binary, k1 long, k2 long, start long, end long, alone boolean")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return windows.filter("alone").join(twice, "window").select("k1", "k2", "start", "end")
+    return units.select(*COLUMNS).repartition("u1", "u2").sortWithinPartitions("u1", "u2").mapInArrow(run, "k1 long, k2 long, start long, end long")
 
 
 # --- The operator ----------------------------------------------------------------------
@@ -370,55 +391,75 @@ def _refined(units: DataFrame) -> DataFrame:
 RUN = ["class", "ds", "de", "body"]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(k1, k2, start, end): byte ranges of the texts (named as in _keyed) that are covered
-    by repeated windows; ranges overlap and may come more than once."""
+def _solved(units: DataFrame, scale: Scale) -> DataFrame:
+    """Ranges of the units' repeated windows; large groups come back with longer cores."""
+    width, out = scale.unit, None
+    while True:
+        sizes = units.groupBy("u1", "u2").agg(F.count("*").alias("n")).filter("n > 1")
+        units = C.materialize(units.join(C.materialize(sizes, "groups"), ["u1", "u2"]), "grouped") if width < scale.unit else units.join(C.materialize(sizes, "groups"), ["u1", "u2"])
+        if width == 1:  # one window a unit, all equal
+            done = units.filter("alone").select("k1", "k2", F.col("at").alias("start"), (F.col("at") + scale.length).alias("end"))
+        else:
+            done = _matched(units.filter(F.col("n") <= BOUND), scale, width)
+        out = done if out is None else out.unionByName(done)
+        large = units.filter(F.col("n") > BOUND)
+        if width == 1 or not large.limit(1).count():
+            return out
+        units = C.materialize(_halved(large, width, scale.symbol), "halved")
+        width //= 2
+
+
+def repeats(docs: DataFrame, scale: Scale = BYTES) -> DataFrame:
+    """(k1, k2, start, end): ranges of the symbols of the texts (named as in _keyed) that are
+    covered by repeated windows; ranges overlap and may come more than once."""
     C.tune(docs.sparkSession)
     keyed = _keyed(docs)
-    found = C.materialize(_runs_of(keyed), "runs")
+    found = C.materialize(_runs_of(keyed, scale), "runs")
     # Equal runs are counted before they are shuffled; any one of them stands for all.
     bodies = C.materialize(found.groupBy(*RUN).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "a"))), "bodies")
     whole = found.join(bodies.filter("n > 1").select(*RUN), RUN)
-    whole = whole.select("k1", "k2", (F.col("a") - F.col("ds")).alias("start"), (F.col("a") - F.col("de") + LENGTH).alias("end"))
+    whole = whole.select("k1", "k2", (F.col("a") - F.col("ds")).alias("start"), (F.col("a") - F.col("de") + scale.length).alias("end"))
     several = bodies.groupBy("class").agg(F.count("*").alias("m")).filter("m > 1").select("class")
     need = bodies.join(several, "class")
     lists = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "ds", "de", "class", (F.col("n") == 1).alias("alone"))).alias("found"))
     texts = keyed.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    units = C.materialize(_units_of(texts), "units")
-    groups = C.materialize(units.groupBy("u1", "u2").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
-    units = units.join(groups, ["u1", "u2"])
-    columns = ["u1", "u2", "sides", "k1", "k2", "at", "alone"]
-    out = whole.unionByName(_matched(units.filter(F.col("n") <= BOUND).select(*columns)))
-    if groups.filter(F.col("n") > BOUND).limit(1).count():
-        out = out.unionByName(_refined(units.filter(F.col("n") > BOUND).select(*columns)))
-    return out
+    units = C.materialize(_units_of(texts, scale), "units")
+    return whole.unionByName(_solved(units, scale))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    ranges = repeats(docs).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    rows = _keyed(docs).join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
-    schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    """Per row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and in words the passages
+    of at least WORDS.length words that start anywhere else too: (n_passages,
+    n_passage_words)."""
+    both = repeats(docs).withColumn("words", F.lit(False)).unionByName(repeats(docs, WORDS).withColumn("words", F.lit(True)))
+    ranges = both.groupBy("k1", "k2").agg(*(F.collect_set(F.when(F.col("words") == w, F.struct("start", "end"))).alias(n) for n, w in (("ranges", False), ("passages", True))))
+    rows = _keyed(docs).join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges", "passages")
+    schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("n_passage_words", pa.int64())]
+
+    def merged(ranges: list | None) -> list[list[int]]:
+        out: list[list[int]] = []
+        for start, end in sorted((r["start"], r["end"]) for r in ranges or ()):
+            if out and start <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([start, end])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, ranges, passages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode()
-                kept, done, removed, spans = hashlib.sha256(), 0, 0, 0
-                for start, end in sorted((r["start"], r["end"]) for r in ranges or ()):
-                    if start > done or not spans:
-                        kept.update(data[done:start])
-                        spans += 1
-                        removed += end - start
-                    elif end > done:
-                        removed += end - done
-                    done = max(done, end)
+                spans, words = merged(ranges), merged(passages)
+                kept, done = hashlib.sha256(), 0
+                for start, end in spans:
+                    kept.update(data[done:start])
+                    done = end
                 kept.update(data[done:])
-                out.append((doc_id, len(data), removed, spans, kept.hexdigest()))
+                out.append((doc_id, len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), len(words), sum(b - a for a, b in words)))
             yield _arrow(out, schema)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

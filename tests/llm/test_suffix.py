@@ -5,9 +5,9 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from graphlens.llm import op6_suffix as op
+from graphlens.llm import common as C, op6_suffix as op
 
-from .helpers import awkward, docs
+from .helpers import awkward, docs, words
 
 
 @settings(max_examples=300, deadline=None)
@@ -49,7 +49,21 @@ def plain(rows):
         spans = sum(1 for i in range(len(x)) if gone[i] and (not i or not gone[i - 1]))
         kept = bytes(b for b, g in zip(x, gone, strict=True) if not g)
         out.append((doc_id, len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=str)
+    return sorted((r + p for r, p in zip(out, plain_passages(rows), strict=True)), key=str)
+
+
+def plain_passages(rows):
+    n = op.WORDS.length
+    texts = [words(t) for _, t, _ in rows]
+    seen = Counter(tuple(w[i : i + n]) for w in texts for i in range(len(w) - n + 1))
+    out = []
+    for w in texts:
+        hit = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                hit[i : i + n] = [True] * n
+        out.append((sum(1 for i in range(len(w)) if hit[i] and (not i or not hit[i - 1])), sum(hit)))
+    return out
 
 
 def run(spark, rows):
@@ -83,21 +97,31 @@ def test_by_brute_force(spark):
         assert run(spark, corpus(seed)) == plain(corpus(seed))
 
 
-def test_hot_cores_are_refined(spark, monkeypatch):
+def test_hot_cores_are_halved(spark, monkeypatch):
     rows = corpus(3)
-    monkeypatch.setattr(op, "BOUND", 3)
-    assert run(spark, rows) == plain(rows)
+    for bound in (1, 3):
+        monkeypatch.setattr(op, "BOUND", bound)
+        assert run(spark, rows) == plain(rows)
+
+
+def test_passages_with_other_spacing(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(55)
+    rows = [(1, " ".join(text(30) + passage + text(30)), "a"), (2, ",\n".join(text(20) + [w.upper() for w in passage]), "a"), (3, " ".join(text(100) + passage[:49]), "a"), (4, " ".join(text(60)), "a")]
+    got = run(spark, rows)
+    assert got == plain(rows)
+    assert [r[5:] for r in got] == [(1, 55), (1, 55), (0, 0), (0, 0)] and all(r[2] == 0 for r in got)
 
 
 def test_long_texts_in_segments(spark, monkeypatch):
     monkeypatch.setattr(op, "SEGMENT", 500)
     rows = corpus(4)[:20]
-    assert [len(x[0]) for x in (op.runs(__import__("numpy").frombuffer(t.encode(), "uint8")) for _, t, _ in rows)]
     assert run(spark, rows) == plain(rows)
 
 
 def test_runs_do_not_depend_on_segments(monkeypatch):
-    data = np.frombuffer(random.Random(5).randbytes(3000), np.uint8)
+    data = C._tables()[0][np.frombuffer(random.Random(5).randbytes(3000), np.uint8)]
     whole = [x.tolist() for x in op.runs(data)]
     for size in (100, 500, 777):
         monkeypatch.setattr(op, "SEGMENT", size)
