@@ -7,9 +7,11 @@ per word.  Everything here is deterministic; a rerun gives the same hashes.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +45,10 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Folders written by materialize and not yet removed.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost
     executors, and later plans see one fixed version of the rows.  `by`, the last column,
@@ -50,10 +56,35 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", by: str | N
     spark = df.sparkSession
     path = f"{runtime.shared_dir(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
     write = df.write.option("compression", compression)
+    _WRITTEN.append(path)
     (write.partitionBy(by) if by else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end what materialize wrote inside, but for the table last written when
+    the function given is called on it; shuffles that nothing refers to any more go too."""
+    start = len(_WRITTEN)
+    kept = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_WRITTEN[-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _WRITTEN[start:]:
+            if path not in kept:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+        _WRITTEN[start:] = sorted(kept)
+        gc.collect()
+        jvm.System.gc()
+
+
 def ranked(df: DataFrame, keys: list, name: str, size: str | None = None) -> DataFrame:
     """df with `rank` (long, from 0) in the order of keys, without any one-task sort; with
     `size` also `start`, the sum of that column over all earlier rows.

@@ -431,8 +431,14 @@ def report(docs: DataFrame) -> DataFrame:
     """Per row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256), and in words the passages
     of at least WORDS.length words that start anywhere else too: (n_passages,
     n_passage_words)."""
-    both = repeats(docs).withColumn("words", F.lit(False)).unionByName(repeats(docs, WORDS).withColumn("words", F.lit(True)))
-    ranges = both.groupBy("k1", "k2").agg(*(F.collect_set(F.when(F.col("words") == w, F.struct("start", "end"))).alias(n) for n, w in (("ranges", False), ("passages", True))))
+    spark, found = docs.sparkSession, []
+    for scale, name in ((BYTES, "ranges"), (WORDS, "passages")):
+        # One after the other, so that their intermediate tables do not lie side by side.
+        with C.cleaned(spark) as keep:
+            each = repeats(docs, scale).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias(name))
+            found.append(keep(C.materialize(each, name)))
+            del each
+    ranges = found[0].join(found[1], ["k1", "k2"], "full_outer")
     rows = _keyed(docs).join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges", "passages")
     schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("n_passage_words", pa.int64())]
 
