@@ -6,21 +6,27 @@ inverse document frequency over the largest one (the augmented form, which keeps
 that a large group of copies shares from counting for nothing).  SAMPLES
 consistent weighted samples per text (ICWS: the same shingle at the same weight draws
 the same numbers in every text) agree between two texts with the probability of their
-weighted Jaccard similarity.  Texts that agree in all ROWS samples of a band share a
-bucket.  Buckets with the same members are taken once, and large ones are cut into
-blocks that meet pairwise, so that no task holds more than two blocks.  Within a block
-pair, texts without any partner that agrees in AGREE samples go; for the rest the
-weighted Jaccard similarity of every pair is computed exactly, as one matrix product
+weighted Jaccard similarity.  Texts that agree in all ROWS samples of a band share a bucket.  Buckets with
+the same members are taken once.
+
+A large bucket is dealt to blocks of bounded size, each of which also gets the bucket's
+leader.  Within a block, texts without any partner that agrees in AGREE samples go; for
+the rest the weighted Jaccard similarity of every pair is computed, as a matrix product
 over shared shingles, and only a spanning forest of the links of SIMILARITY or more is
-kept.  Links are joined to classes by alternating large-star and small-star rounds.
+kept.  Links are joined to classes by alternating large-star and small-star rounds.  In a
+bucket of near copies the leader ties the blocks together, and that is all.  Only texts
+of a large bucket that are not in its largest class yet, the strays, then meet all its
+blocks in the same way, so no link between different texts is lost, and a group of n
+near copies costs about n rows.
 
 Exact copies are one text from the start.  A pair at similarity 0.8 is missed by all
 bands with probability 0.0008, and has fewer than AGREE agreeing samples with 1e-6.
 
 Defined results: null text is the empty text; texts without words are similar to their
 exact copies alone; class_id is the smallest doc_id of the class (null if it has none);
-different texts may share a doc_id, and then classes may share a class_id; repeated rows and null doc_id get rows; an empty table gives no row; other columns are
-ignored (representatives keeps them).
+different texts may share a doc_id, and then classes may share a class_id; repeated rows
+and null doc_id get rows; an empty table gives no row; other columns are ignored
+(representatives keeps them).
 """
 
 from __future__ import annotations
@@ -39,7 +45,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 AGREE = 14
-BLOCK = 1000
+#: Texts and shingles to a block, on average.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+#: Parts a key's rows are dealt to where one key may have many.
+SALTS = 16
 #: Words in fewer documents than this share get its idf; it bounds the broadcast table
 #: at (mean distinct words of a document) / MIN_SHARE rows for a corpus of any size.
 MIN_SHARE, LEXICON_LIMIT = 0.0005, 8_000_000
@@ -118,14 +127,15 @@ def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """(doc_id, key, bands, sample): key is the md5 digest of the text; bands is null, and
-    sample empty, without words."""
+    """(doc_id, key, bands, sample, size): key is the md5 digest of the text; bands is null, and
+    sample empty, without words; size is the number of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
             row, shingle, times, one = weighted_shingles(data, offs, weights.value)
             drawn = samples(row, shingle, times * one, rows.num_rows)
-            some = np.bincount(row, minlength=rows.num_rows) > 0
+            size = np.bincount(row, minlength=rows.num_rows)
+            some = size > 0
             band = np.zeros((rows.num_rows, BANDS), np.uint64)
             for j in range(ROWS):
                 band = C.mix(band * C.U64(0xD6E8FEB86659FD93) + drawn[:, j::ROWS])
@@ -134,23 +144,53 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
             raw = data.tobytes()
             keys = [hashlib.md5(raw[a:b]).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(keys, pa.binary()), pa.array([b if s else None for b, s in zip(band, some, strict=True)], pa.list_(pa.int64())), pa.array([d.tobytes() if s else b"" for d, s in zip(drawn, some, strict=True)], pa.binary())],
-                names=["doc_id", "key", "bands", "sample"],
+                [rows.column(0), pa.array(keys, pa.binary()), pa.array([b if s else None for b, s in zip(band, some, strict=True)], pa.list_(pa.int64())), pa.array([d.tobytes() if s else b"" for d, s in zip(drawn, some, strict=True)], pa.binary()), pa.array(size, pa.int64())],
+                names=["doc_id", "key", "bands", "sample", "size"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, bands array<long>, sample binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, bands array<long>, sample binary, size long")
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows.join(table, key), where table has a row a key and a key may have many rows: they
+    are dealt to SALTS parts by `rep`."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(SALTS)).cast("int"))
+    table = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.join(table, [key, "_salt"], how).drop("_salt")
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """(pair, side, rep): members (bucket, rep) dealt to block pairs of at most about two
-    BLOCKs.  Buckets with one member go; of buckets with the same members one stays."""
+def bucketed(members: DataFrame) -> DataFrame:
+    """(bucket, rep, lead, parts, own) from (bucket, rep, size): buckets with one member go,
+    of buckets with the same members one stays; own is the block of a member, of `parts`."""
     h = F.xxhash64("rep")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("n > 1")
-    sizes = sizes.groupBy("n", "x", "y", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = members.join(sizes, "bucket")
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "rep")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("n > 1")
+    sizes = sizes.groupBy("n", "s", "x", "y", "lo", "hi").agg(F.min("bucket").alias("bucket"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("s") / BLOCK_SHINGLES), F.col("n"))).cast("int")
+    rows = salted(members.select("bucket", "rep"), sizes.select("bucket", F.col("lo").alias("lead"), parts.alias("parts")), "bucket")
+    return rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(pair, rep): the blocks of bucketed() rows, each with its bucket's leader."""
+    pair = F.xxhash64("bucket", "own").alias("pair")
+    lead = rows.filter((F.col("parts") > 1) & (F.col("rep") == F.col("lead"))).withColumn("home", F.col("own"))
+    lead = lead.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("own != home")
+    return rows.select(pair, "rep").unionByName(lead.select(pair, "rep"))
+
+
+def strays(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pair, rep): members of large buckets that are not of their bucket's largest class, by
+    the classes so far, in chunks, each with every block of the bucket."""
+    rows = rows.filter("parts > 1").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    rows = C.materialize(rows, "large")
+    main = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.filter("`all` > most").select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("chunks"))
+    rows = salted(rows, main, "bucket")
+    stray = rows.filter("root != main").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")).cast("int"))
+    stray = stray.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = F.xxhash64("bucket", "own", "chunk", F.lit(2)).alias("pair")
+    return rows.select(pair, "rep").unionByName(stray.select(pair, "rep")).distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], items) -> Iterator[tuple[int, list]]:
@@ -208,16 +248,16 @@ def linked(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILA
     shared = count[column] > 1
     which, weight = which[shared], weight[shared]
     _, column = np.unique(column[shared], return_inverse=True)
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n))
     order = np.argsort(column, kind="stable")
     which, weight, column = which[order], weight[order], column[order]
-    width = 4096
+    width = 2048
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (lo, lo + width))
-        part = np.zeros((n, width), np.float32)
+        part = np.zeros((n, width))
         part[which[a:b], column[a:b] - lo] = np.sqrt(weight[a:b])
         common += part @ part.T
-    near = common >= similarity * (total[:, None] + total[None, :] - common) * (1 - 1e-6)
+    near = common >= similarity * (total[:, None] + total[None, :] - common) * (1 - 1e-9)
     np.fill_diagonal(near, True)
     label = np.arange(n)
     while True:
@@ -259,24 +299,40 @@ def _links(rows: DataFrame, weights) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with links.
-    Large-star and small-star rounds; each round is written, none is held in memory."""
+    Large-star and small-star rounds; each round is written, none is held in memory.  A hub's
+    links are dealt to parts, so that it makes no large task."""
     links = C.materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
+    own = lambda rows, low: salted(rows.withColumn("rep", F.col("v")), low, "u").drop("rep")
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = own(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = C.materialize(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
+        small = own(large, low).select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         small = C.materialize(small, "small")
         # Stars only: every node has one lower neighbour, and that one has none.
-        stuck = small.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() or small.select("v").join(small.select("u"), F.col("v") == F.col("u"), "left_semi").limit(1).count()
+        stuck = small.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() or small.select("v").distinct().join(small.select("u"), F.col("v") == F.col("u"), "left_semi").limit(1).count()
         links = small
         if not stuck:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _verified(dealt: DataFrame, texts: DataFrame, docs: DataFrame, weights) -> DataFrame:
+    """(a, b): links of similarity among the members of each pair (pair, rep), written."""
+    rep = F.xxhash64("key")
+    close = _agreeing(dealt.join(texts.select("rep", "sample"), "rep").select("pair", "rep", "sample")).distinct()
+    close = close.join(texts.select("rep", "size"), "rep")
+    close = C.materialize(bucketed(close).select("bucket", "rep"), "close")
+    # Of a text's copies, the rows of its smallest doc_id are read, and one of them is kept.
+    need = texts.select("rep", F.coalesce("low", "rep").alias("low")).join(close.select("rep").distinct(), "rep", "left_semi")
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    body = docs.select(key.alias("key"), "doc_id", "text").select(rep.alias("rep"), F.coalesce("doc_id", rep).alias("low"), "text")
+    body = body.join(need, ["rep", "low"]).groupBy("rep").agg(F.first("text").alias("text"))
+    return C.materialize(_links(close.join(body, "rep").select("bucket", "rep", "text"), weights), "verified")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """The operator: (doc_id, key, root, class_id) of every row; root tells classes apart."""
     spark = docs.sparkSession
@@ -284,18 +340,15 @@ def classes(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(weigh(docs))
     signed = C.materialize(signatures(docs, weights), "signed")
     # A text is known by its digest: different texts may share a doc_id.
-    rep = F.xxhash64("key")
-    texts = C.materialize(signed.groupBy("key").agg(rep.alias("rep"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("sample").alias("sample")), "texts")
-    members = texts.filter("bands is not null").select("rep", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep")
-    dealt = blocks(members).join(texts.select("rep", "sample"), "rep").select("pair", "rep", "sample")
-    close = C.materialize(blocks(_agreeing(dealt).distinct()).distinct().select(F.col("pair").alias("bucket"), "rep"), "close")
-    # Of a text's copies, the rows of its smallest doc_id are read, and one of them is kept.
-    need = texts.select("rep", F.coalesce("low", "rep").alias("low")).join(close.select("rep").distinct(), "rep", "left_semi")
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    body = docs.select(key.alias("key"), "doc_id", "text").select(rep.alias("rep"), F.coalesce("doc_id", rep).alias("low"), "text")
-    body = body.join(need, ["rep", "low"]).groupBy("rep").agg(F.first("text").alias("text"))
-    rows = close.join(body, "rep").select("bucket", "rep", "text")
-    roots = components(_links(rows, weights))
+    texts = C.materialize(signed.groupBy("key").agg(F.xxhash64("key").alias("rep"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("sample").alias("sample"), F.first("size").alias("size")), "texts")
+    members = texts.filter("bands is not null").select("rep", "size", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep", "size")
+    members = C.materialize(bucketed(members), "members")
+    links = _verified(blocks(members), texts, docs, weights)
+    roots = components(links)
+    if members.filter("parts > 1").limit(1).count():
+        rest = C.materialize(strays(members, roots), "strays")
+        if rest.limit(1).count():
+            roots = components(links.unionByName(_verified(rest, texts, docs, weights)))
     texts = texts.select("key", "rep", "low").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
     ids = texts.groupBy("root").agg(F.min("low").alias("class_id"))
     named = texts.join(ids, "root").select("key", "root", "class_id")

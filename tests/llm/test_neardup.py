@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from graphlens.llm import common as C, op8_neardup as op
 
@@ -77,6 +78,45 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     assert run(spark, corpus(2)) == plain_classes(corpus(2))
 
 
+def test_blocks_by_shingles_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_SHINGLES", 400)
+    assert run(spark, corpus(4)) == plain_classes(corpus(4))
+
+
+def test_a_large_bucket_costs_about_its_rows(spark):
+    """Not the pairs of its blocks: strays alone meet all of them."""
+    n = 20 * op.BLOCK
+    members = spark.range(n).select(F.lit(5).cast("long").alias("bucket"), F.xxhash64("id").alias("rep"), F.lit(10).cast("long").alias("size"))
+    rows = C.materialize(op.bucketed(members), "m")
+    dealt = op.blocks(rows)
+    assert dealt.count() == n + 19 and dealt.groupBy("pair").count().agg(F.max("count")).first()[0] < 1.3 * op.BLOCK
+    low = rows.agg(F.min("rep")).first()[0]
+    roots = rows.filter(F.col("rep") != low).select(F.col("rep").alias("node"), F.lit(low).alias("root"))
+    assert op.strays(rows, roots).count() == 0
+    few = op.strays(rows, roots.filter(F.pmod("node", F.lit(n // 4)) > 5))
+    assert n <= few.count() < 1.2 * n and few.groupBy("pair").count().agg(F.max("count")).first()[0] < 1.5 * op.BLOCK
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of similarity 0.8 or more, by plain five-word Jaccard, end in one class."""
+    rng = random.Random(12)
+    word = lambda: f"w{min(rng.randrange(3000), rng.randrange(3000))}"
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(rng.randint(40, 300))]
+        for k in range(4):
+            ws = list(base)
+            for _ in range(round(len(ws) * rng.choice([0, 0.005, 0.01, 0.02]))):
+                ws[rng.randrange(len(ws))] = word()
+            rows.append((4 * g + k, " ".join(ws), "a"))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t, _ in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and a // 4 == b // 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    classes = dict(run(spark, rows))
+    assert len(near) > 150
+    assert np.mean([classes[a] == classes[b] for a, b in near]) >= 0.97
+    assert all(classes[a] // 4 == a // 4 for a in classes)
+
+
 def test_samples_estimate_the_similarity():
     rng = np.random.default_rng(3)
     element = rng.integers(0, 1 << 54, 400, dtype=np.uint64)
