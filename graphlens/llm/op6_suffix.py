@@ -15,7 +15,7 @@ A core shared by more than BOUND units would make a large task; such units are h
 which gives each half a longer core, until the groups are small enough or a unit is one
 window, all of whose group are equal.  Symbols are bytes, or words (A-Z folded, by 64-bit
 hashes) for passages that repeat with other spacing or signs between their words.  Runs
-and cores count as equal if the 128-bit digests of their symbols are; what lies around
+and cores count as equal if the 128-bit digests of their bytes (of words: 64 bits) are; what lies around
 cores is compared itself.
 
 Defined results: null text is empty; a text of fewer than LENGTH bytes keeps all bytes;
@@ -188,7 +188,7 @@ def _symbols(data: np.ndarray, offs: np.ndarray, scale: Scale) -> tuple[np.ndarr
 
 def _digests(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     raw, k = memoryview(np.ascontiguousarray(symbols)).cast("B") if len(symbols) else b"", symbols.itemsize
-    return [hashlib.md5(raw[a:b]).digest() for a, b in zip((start * k).tolist(), (end * k).tolist(), strict=True)]
+    return [hashlib.md5(raw[a:b]).digest()[: 16 if k == 1 else 8] for a, b in zip((start * k).tolist(), (end * k).tolist(), strict=True)]
 
 
 def runs(values: np.ndarray, scale: Scale = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
