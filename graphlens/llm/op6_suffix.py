@@ -5,18 +5,20 @@ anchor, so equal windows have equal anchors at equal places.  A run is the windo
 text that share one anchor occurrence; runs with equal symbols repeat whole.
 Runs whose anchor occurs in other surroundings too are cut into units of UNIT windows:
 what all windows of a unit share, its core, becomes one symbol, and the symbols before
-and after it stay symbols.  Units with one core meet in one task, where a suffix array
-over their symbols puts equal windows side by side.  It is built by linear grouping:
-groups of suffixes are taken in descending order, and through pointers to the previous
-smaller suffix each extends the Lyndon prefix of those before it; then one ascending pass
-emits every group's order from that of the next smaller suffixes, without renaming.
-
-A core shared by more than BOUND units would make a large task; such units are halved,
-which gives each half a longer core, until the groups are small enough or a unit is one
-window, all of whose group are equal.  Symbols are bytes, or words (A-Z folded, by 64-bit
-hashes) for passages that repeat with other spacing or signs between their words.  Runs
-and cores count as equal if the 128-bit digests of their bytes (of words: 64 bits) are; what lies around
-cores is compared itself.
+and after it stay symbols.  Units with one core meet in one task, where each is halved,
+which gives each half a longer core; halves whose core no other unit has are done.  Over
+the symbols of the others a suffix array puts equal windows side by side.  It is built by
+linear grouping: groups of suffixes are taken in descending order, and through pointers to
+the previous smaller suffix each extends the Lyndon prefix of those before it; then one
+ascending pass emits every group's order from that of the next smaller suffixes, without
+renaming.
+
+A core shared by more than BOUND units would make a large task; such units are halved
+first, and meet anew, until the groups are small enough or a unit is one window, all of
+whose group are equal.  Symbols are bytes, or words (A-Z folded, by 64-bit hashes) for
+passages that repeat with other spacing or signs between their words.  Runs and cores
+count as equal if the 128-bit digests of their bytes (of words: 64 bits) are; what lies
+around cores is compared itself.
 
 Defined results: null text is empty; a text of fewer than LENGTH bytes keeps all bytes;
 repeated rows repeat each other; null doc_id is kept; an empty table gives no row; other
@@ -330,37 +332,68 @@ class _Matcher:
 
     def __init__(self, scale: Scale, width: int) -> None:
         self.length, self.symbol, self.width = scale.length, scale.symbol, width
+        self.outside = b"\xff" * np.dtype(scale.symbol).itemsize
         self.out: list[tuple] = []
         self.waiting: list[list[tuple[bytes, list]]] = []
         self.size = 0
 
     def add(self, group: dict[bytes, list]) -> None:
-        for sides, rows in group.items():
-            if len(rows) > 1:  # equal units: all their windows in the text repeat
-                s = np.frombuffer(sides, self.symbol)
-                inside = np.r_[s[: self.width - 1] >= 0, True] & np.r_[True, s[self.width - 1 :] >= 0]
-                self.take(rows, inside.tolist())
-        single = [rows[0][3] for rows in group.values() if len(rows) == 1]
-        if len(group) > 1 and any(single):
-            self.waiting.append([(sides, rows if len(rows) == 1 else []) for sides, rows in group.items()])
-            self.size += len(group) * 2 * self.width
+        """Takes equal units; of the rest, the halves whose longer core another unit shares too
+        wait for the suffix array, as every window of a half contains that core."""
+        rest = self.equal(group, self.width)
+        if rest:
+            half, size, outside = self.width // 2, len(self.outside), self.outside
+            cores: dict[tuple[int, bytes], dict[bytes, list]] = {}
+            for sides, rows in rest.items():
+                # As in _halved; a unit without a window in the text has a core that ends outside.
+                left, right = sides[: (self.width - 1) * size], sides[(self.width - 1) * size :]
+                h, e = half * size, (half - 1) * size
+                for t, more, around in ((0, left[e:], left[:e] + right[:e]), (half, right[:h], left[h:] + right[h:])):
+                    if more[:size] != outside and more[-size:] != outside:
+                        moved = [(k1, k2, at + t, alone) for k1, k2, at, alone in rows]
+                        cores.setdefault((t, more), {}).setdefault(around, []).extend(moved)
+            for units in cores.values():
+                units = self.equal(units, half)
+                if units:
+                    self.waiting.append(list(units.items()))
+                    self.size += len(units) * 2 * half
             if self.size >= SYMBOLS:
                 self.solve()
 
+    def equal(self, group: dict[bytes, list], width: int) -> dict[bytes, list]:
+        """Takes the windows of units that are equal; what is left to compare, in which those
+        taken stand as partners only."""
+        left, single = {}, False
+        for sides, rows in group.items():
+            if len(rows) > 1:  # equal units: all their windows in the text repeat
+                self.take(rows, self.inside(sides, width))
+                left[sides] = [(*rows[0][:3], False)]
+            else:
+                left[sides] = rows
+                single = single or rows[0][3]
+        return left if single and len(left) > 1 else {}
+
+    def inside(self, sides: bytes, width: int) -> list[bool]:
+        """Which windows of a unit lie in the text."""
+        if not sides or not (sides.startswith(self.outside) or sides.endswith(self.outside)):
+            return [True] * width
+        s = np.frombuffer(sides, self.symbol)
+        return (np.r_[s[: width - 1] >= 0, True] & np.r_[True, s[width - 1 :] >= 0]).tolist()
+
     def take(self, rows: list, flags: list[bool]) -> None:
         for k1, k2, at, alone in rows:
             if alone:
                 self.out.extend((k1, k2, a, b) for a, b in _spans(flags, at, self.length))
 
     def solve(self) -> None:
-        symbols, owners = [], []
+        half, symbols, owners = self.width // 2, [], []
         for core, group in enumerate(self.waiting):
             for sides, rows in group:
                 v = np.frombuffer(sides, self.symbol).tolist()
-                symbols.append([*v[: self.width - 1], -3 - core, *v[self.width - 1 :]])
+                symbols.append([*v[: half - 1], -3 - core, *v[half - 1 :]])
                 owners.append(rows)
         if symbols:
-            for flags, rows in zip(repeated_windows(symbols, self.width), owners, strict=True):
+            for flags, rows in zip(repeated_windows(symbols, half), owners, strict=True):
                 self.take(rows, flags)
         self.waiting, self.size = [], 0
 
