@@ -193,14 +193,22 @@ def _digests(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[by
     return [hashlib.md5(raw[a:b]).digest()[: 16 if k == 1 else 8] for a, b in zip((start * k).tolist(), (end * k).tolist(), strict=True)]
 
 
-def runs(values: np.ndarray, scale: Scale = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window, hash of the anchor) of a text's runs of windows
-    with one anchor; values are the hashes of its symbols."""
+def runs(values: np.ndarray, scale: Scale = BYTES, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window, hash of the anchor) of the runs of windows with one
+    anchor; values are the hashes of the symbols of one text, or of several between cuts."""
     length, gram = scale.length, scale.gram
+    cuts = np.array([0, len(values)]) if cuts is None else cuts
+    whole = np.zeros(len(values) + 1, np.int8)
+    long = np.diff(cuts) >= length  # the others have no window
+    np.add.at(whole, cuts[:-1][long], 1)
+    np.add.at(whole, cuts[1:][long] - length + 1, -1)
+    inside = np.cumsum(whole, dtype=np.int8).view(bool)  # windows within one text
     parts = []
-    windows = len(values) - length + 1
-    for lo in range(0, max(windows, 0), SEGMENT):
-        hi = min(windows, lo + SEGMENT)
+    for lo in range(0, max(len(values) - length + 1, 0), SEGMENT):
+        hi = min(len(values) - length + 1, lo + SEGMENT)
+        own = np.flatnonzero(inside[lo:hi])
+        if not len(own):
+            continue
         piece = values[lo : hi + length - 1]
         up, down = C.powers(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
@@ -215,11 +223,11 @@ def runs(values: np.ndarray, scale: Scale = BYTES) -> tuple[np.ndarray, np.ndarr
             step *= 2
         if step < width:
             low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
-        anchor = (low & _POS).astype(np.int64)
+        anchor = (low[own] & _POS).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         last = np.r_[first[1:], len(anchor)] - 1
         a = anchor[first]
-        parts.append((a + lo, first + lo, last + lo, grams[a]))
+        parts.append((a + lo, own[first] + lo, own[last] + lo, grams[a]))
     if not parts:
         z = np.zeros(0, np.int64)
         return z, z, z, z.view(np.uint64)
@@ -237,15 +245,14 @@ def _runs_of(docs: DataFrame, scale: Scale) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in C.chunks(batches):
             symbols, values, cuts = _symbols(data, offs, scale)
-            cuts = cuts.tolist()
-            out = [runs(values[x:y], scale) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            own = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
-            a, s, e, gram = (np.concatenate(x) for x in zip(*out, strict=True))
-            base = np.array(cuts[:-1])[own]
-            body = _digests(symbols, base + s, base + e + scale.length)
+            a, s, e, gram = runs(values, scale, cuts)
+            own = np.searchsorted(cuts, s, "right") - 1
+            body = _digests(symbols, s, e + scale.length)
+            ds, de = a - s, a - e
+            a -= cuts[own]
             which = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(which), rows.column(1).take(which), pa.array(a), pa.array((a - s).astype(np.int16)), pa.array((a - e).astype(np.int16)), pa.array(gram.view(np.int64)), pa.array(body, pa.binary())],
+                [rows.column(0).take(which), rows.column(1).take(which), pa.array(a), pa.array(ds.astype(np.int16)), pa.array(de.astype(np.int16)), pa.array(gram.view(np.int64)), pa.array(body, pa.binary())],
                 names=["k1", "k2", "a", "ds", "de", "class", "body"],
             )
 
