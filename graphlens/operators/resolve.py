@@ -48,6 +48,12 @@ EDGE_KINDS = {
     "blade_x_component": "renders",
 }
 
+#: Definitions of one key that are joined as one row.
+CHUNK = 1000
+#: Definitions with more keys (those of equal files share them) are made distinct after the
+#: join instead, as their pairs of keys would be many.
+MANY_KEYS = 16
+
 
 @dataclass
 class Project:
@@ -213,15 +219,62 @@ def lookup_key(refs: DataFrame) -> Column:
     return F.when(precise, F.when(F.contains(qname, F.lit("#")), qname)).when(member, F.when(F.contains(qname, F.lit("::")), qname)).otherwise(F.coalesce(qname, F.col("name")))
 
 
+def _first_keys(symbols: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The definitions under keys in use, as three tables: (family, key, earlier, nodes), up
+    to about CHUNK definitions a row, with the other keys that come before this one for
+    them; (family, key, other), the keys that come before a key for any definition;
+    (family, key, node_id) of definitions with more than MANY_KEYS keys, which are in
+    neither.  Of a definition's keys the one with the most definitions comes first, so a key
+    has few before it: a name comes before the qualified names that end in it."""
+    known = runtime.written(symbols.join(runtime.small(used), ["family", "key"], "left_semi").select("family", "key", "node_id").distinct(), "known")
+    count = known.groupBy("family", "key").agg(F.count("*").alias("n"))
+    keys = known.groupBy("node_id").agg(F.count("*").alias("keys"))
+    known = runtime.written(known.join(runtime.small(count), ["family", "key"]).join(keys, "node_id"), "known")
+    several = known.filter((F.col("keys") > 1) & (F.col("keys") <= MANY_KEYS))
+    order = several.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "family", "key"))).alias("all"))
+    order = order.select("node_id", F.posexplode(F.transform("all", lambda k: F.struct(k["family"].alias("family"), k["key"].alias("key")))).alias("at", "k"), "all")
+    before = F.transform(F.slice("all", F.lit(1), F.col("at")), lambda k: F.struct(k["family"].alias("family"), k["key"].alias("key")))
+    order = order.select("node_id", "k.family", "k.key", (-F.element_at("all", F.col("at") + 1)["n"]).alias("n"), before.alias("earlier"))
+    first = known.filter("keys = 1").select("node_id", "family", "key", "n", F.array().cast(order.schema["earlier"].dataType).alias("earlier")).unionByName(order)
+    chunk = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("n") / CHUNK))
+    nodes = first.groupBy("family", "key", "earlier", chunk.alias("chunk")).agg(F.collect_list("node_id").alias("nodes")).drop("chunk")
+    pairs = order.select("family", "key", F.explode("earlier").alias("other")).distinct()
+    return nodes, pairs, known.filter(F.col("keys") > MANY_KEYS).select("family", "key", "node_id")
+
+
 def edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges of rewritten refs: one for each definition found under the key.  A reference
-    outside of any definition counts only as an import or export, of its file."""
+    outside of any definition counts only as an import or export, of its file.
+
+    A name that many share gives references x definitions rows, so nothing is shuffled after
+    that join: references are made distinct before it, and where a source refers to a
+    definition by several keys, the edge comes from the first of them alone."""
     rows = refs.withColumn("family", family("language")).withColumn("key", lookup_key(refs)).withColumn("ekind", edge_kind("kind"))
     at_file = F.when(F.col("ekind").isin("imports", "exports"), F.concat(F.lit("file:"), "path"))
-    rows = rows.withColumn("source", F.when(F.col("container").isNotNull(), T.node_id("content_hash", "container")).otherwise(at_file))
-    rows = rows.filter("key is not null and key != '' and source is not null").select("family", "key", "source", "ekind")
-    out = rows.join(symbols, ["family", "key"])
-    return out.select(F.col("source").alias("source_node_id"), F.col("ekind").alias("kind"), F.col("node_id").alias("target_node_id"), F.lit("parser_extract").alias("provenance"), F.lit(80).alias("confidence")).distinct()
+    # The source is hash in hexadecimal, then place; T.node_id() of a container.
+    inside = F.col("container").isNotNull()
+    rows = rows.withColumn("hash", F.when(inside, F.col("content_hash")).otherwise(F.lit(b""))).withColumn("place", F.when(inside, F.concat(F.lit(":"), F.col("container").cast("string"))).otherwise(at_file))
+    own = ["hash", "place", "ekind"]
+    rows = rows.filter("family is not null and key is not null and key != '' and hash is not null and place is not null").select("family", "key", *own).distinct()
+    rows = runtime.written(rows.sortWithinPartitions(*own), "references")
+    runtime.swept(rows.sparkSession)
+    nodes, pairs, many = _first_keys(symbols, runtime.written(rows.select("family", "key").distinct(), "used"))
+    pairs, many = runtime.written(pairs, "pairs"), runtime.written(many, "many")
+    shown = rows.withColumn("seen", F.lit(None).cast(nodes.schema["earlier"].dataType))
+    if not pairs.isEmpty():
+        others = rows.select(F.struct("family", "key").alias("other"), *own)
+        both = rows.join(runtime.small(pairs), ["family", "key"]).join(others, ["other", *own])
+        seen = runtime.written(both.groupBy("family", "key", *own).agg(F.collect_set("other").alias("seen")), "seen")
+        shown = rows.join(runtime.small(seen), ["family", "key", *own], "left")
+    source = F.concat(F.lower(F.hex("hash")), "place").alias("source_node_id")
+    nodes = runtime.written(nodes, "definitions")
+    # At most BROADCAST_ROWS definitions.
+    few = nodes.select(F.sum(F.size("nodes"))).first()[0]
+    out = shown.join(F.broadcast(nodes) if (few or 0) <= runtime.BROADCAST_ROWS else nodes, ["family", "key"]).filter("seen is null or not arrays_overlap(earlier, seen)")
+    out = out.select(source, F.col("ekind").alias("kind"), "nodes").select("source_node_id", "kind", F.explode("nodes").alias("target_node_id"))
+    if not many.isEmpty():
+        out = out.unionByName(rows.join(many, ["family", "key"]).select(source, F.col("ekind").alias("kind"), F.col("node_id").alias("target_node_id")).distinct())
+    return out.withColumns({"provenance": F.lit("parser_extract"), "confidence": F.lit(80)})
 
 
 def merged(*parts: DataFrame) -> DataFrame:

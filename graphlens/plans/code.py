@@ -66,13 +66,14 @@ def _unique_keys(spark, sf):
 
 def _refs(spark, sf):
     """Order lines as references to parts, by the keys of their languages."""
-    line = read(spark, sf, "lineitem")
+    # Only what a reference needs is shuffled.
+    line = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("named"), F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).alias("container"))
     d = _defs(spark, sf)
     key = F.when(F.col("language") == "typescript", F.concat(T.js_module("path"), F.lit("#"), "name")).when(F.col("language") == "go", F.concat(T.directory("path"), F.lit("#"), "name")).otherwise(F.col("qname"))
     target = d.select(F.regexp_replace("node_id", "^part:", "").cast("long").alias("pk"), "language", key.alias("qname"), "name")
-    kind = F.when(F.col("language") == "go", "go_selector_call").when(F.col("language") == "rust", "rust_call").when(F.col("l_returnflag") == "R", "import_named").otherwise("call")
+    kind = F.when(F.col("language") == "go", "go_selector_call").when(F.col("language") == "rust", "rust_call").when(F.col("named"), "import_named").otherwise("call")
     rows = line.join(target, F.col("l_partkey") == F.col("pk"))
-    return rows.select("language", F.concat(F.lit("o/"), F.col("l_suppkey").cast("string")).alias("path"), F.unhex(F.sha2(F.col("l_suppkey").cast("string"), 256)).alias("content_hash"), kind.alias("kind"), "name", "qname", F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).alias("container"))
+    return rows.select("language", F.concat(F.lit("o/"), F.col("l_suppkey").cast("string")).alias("path"), F.unhex(F.sha2(F.col("l_suppkey").cast("string"), 256)).alias("content_hash"), kind.alias("kind"), "name", "qname", "container")
 
 
 def _resolved(spark, sf):
