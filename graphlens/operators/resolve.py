@@ -53,6 +53,14 @@ CHUNK = 1000
 #: Definitions with more keys (those of equal files share them) are made distinct after the
 #: join instead, as their pairs of keys would be many.
 MANY_KEYS = 16
+#: Definitions of no more bytes of node ids are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of different sources, and of different targets, that a tile of edges aims at: a
+#: Parquet dictionary, with which an edge takes some bits, holds 1 MiB a column.
+TILE_BYTES = 800_000
+#: Edges that a tile aims at, at most, and the most tiles.
+TILE_EDGES = 1 << 26
+TILES = 10_000
 
 
 @dataclass
@@ -242,12 +250,47 @@ def _first_keys(symbols: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFra
     return nodes, pairs, known.filter(F.col("keys") > MANY_KEYS).select("family", "key", "node_id")
 
 
+def _packed(*columns: str) -> Column:
+    """Strings as one, which takes less of a shuffle than a struct: lengths, then bytes."""
+    return F.concat(*(F.concat(F.octet_length(c).cast("string"), F.lit(" ")) for c in columns), *columns)
+
+
+def _unpacked(packed: str, *columns: str) -> list[Column]:
+    head = F.substring_index(packed, " ", len(columns))
+    start, out = F.octet_length(head) + 2, []
+    for i, c in enumerate(columns):
+        n = F.substring_index(F.substring_index(head, " ", i + 1), " ", -1).cast("int")
+        out.append(F.substring(F.col(packed).cast("binary"), start, n).cast("string").alias(c))
+        start = start + n
+    return out
+
+
+def _tiled(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """References dealt by tiles, those of some files under some keys, and in order of their
+    keys.  The edges of a tile have few different sources and few different targets, and
+    those of a key repeat one list of targets, so they compress well; a key with many
+    references or definitions is in the tiles of many files."""
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n))
+    down = max(1, -(-size // TILE_BYTES))
+    most = keys.groupBy(part(down, "family", "key").alias("g")).agg(F.sum(F.col("n") * F.col("m")).alias("edges")).select(F.max("edges")).first()[0] or 0
+    length = 2 * F.length("hash") + F.length("place") + 4
+    sources = rows.select(F.approx_count_distinct(F.struct("hash", "place")) * F.avg(length)).first()[0] or 0
+    across = min(max(1, -(-int(sources) // TILE_BYTES), -(-most // TILE_EDGES)), max(1, TILES // down))
+    if across * down > 1:
+        inside = F.startswith("place", F.lit(":"))
+        tile = part(across, "hash", F.when(~inside, F.col("place"))) * down + part(down, "family", "key")
+        rows = rows.repartitionById(across * down, tile.cast("int"))
+    # The filter holds for every row; without it the order, which a join need not keep, would
+    # be optimised away.
+    return rows.sortWithinPartitions("family", "key").filter(F.monotonically_increasing_id() >= 0)
+
+
 def edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges of rewritten refs: one for each definition found under the key.  A reference
     outside of any definition counts only as an import or export, of its file.
 
     A name that many share gives references x definitions rows, so nothing is shuffled after
-    that join: references are made distinct before it, and where a source refers to a
+    that join: references are made distinct before it, file by file, and where a source refers to a
     definition by several keys, the edge comes from the first of them alone."""
     rows = refs.withColumn("family", family("language")).withColumn("key", lookup_key(refs)).withColumn("ekind", edge_kind("kind"))
     at_file = F.when(F.col("ekind").isin("imports", "exports"), F.concat(F.lit("file:"), "path"))
@@ -255,10 +298,17 @@ def edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     inside = F.col("container").isNotNull()
     rows = rows.withColumn("hash", F.when(inside, F.col("content_hash")).otherwise(F.lit(b""))).withColumn("place", F.when(inside, F.concat(F.lit(":"), F.col("container").cast("string"))).otherwise(at_file))
     own = ["hash", "place", "ekind"]
-    rows = rows.filter("family is not null and key is not null and key != '' and hash is not null and place is not null").select("family", "key", *own).distinct()
-    rows = runtime.written(rows.sortWithinPartitions(*own), "references")
+    rows = rows.filter("family is not null and key is not null and key != '' and hash is not null and place is not null")
+    # Distinct by file: its digest, which does not compress, is shuffled once a task and not
+    # with each reference, and then stands on neighbouring rows.
+    of_file = F.when(inside, "").otherwise(F.col("place")).alias("file")
+    parts = ["family", "key", "place", "ekind"]
+    files = rows.groupBy("hash", of_file).agg(F.collect_set(_packed(*parts)).alias("refs"))
+    rows = files.select("hash", F.explode("refs").alias("ref")).select("hash", *_unpacked("ref", *parts))
+    rows = runtime.written(rows.select("family", "key", *own), "references")
     runtime.swept(rows.sparkSession)
-    nodes, pairs, many = _first_keys(symbols, runtime.written(rows.select("family", "key").distinct(), "used"))
+    used = runtime.written(rows.groupBy("family", "key").agg(F.count("*").alias("m")), "used")
+    nodes, pairs, many = _first_keys(symbols, used.select("family", "key"))
     pairs, many = runtime.written(pairs, "pairs"), runtime.written(many, "many")
     shown = rows.withColumn("seen", F.lit(None).cast(nodes.schema["earlier"].dataType))
     if not pairs.isEmpty():
@@ -268,9 +318,13 @@ def edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
         shown = rows.join(runtime.small(seen), ["family", "key", *own], "left")
     source = F.concat(F.lower(F.hex("hash")), "place").alias("source_node_id")
     nodes = runtime.written(nodes, "definitions")
-    # At most BROADCAST_ROWS definitions.
-    few = nodes.select(F.sum(F.size("nodes"))).first()[0]
-    out = shown.join(F.broadcast(nodes) if (few or 0) <= runtime.BROADCAST_ROWS else nodes, ["family", "key"]).filter("seen is null or not arrays_overlap(earlier, seen)")
+    weight = F.aggregate("nodes", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 4)
+    keys = nodes.groupBy("family", "key").agg(F.sum(F.size("nodes")).alias("n"), F.sum(weight).alias("bytes")).join(used, ["family", "key"])
+    size = keys.select(F.sum("bytes")).first()[0] or 0
+    # At most BROADCAST_BYTES.
+    if size <= BROADCAST_BYTES:
+        nodes, shown = F.broadcast(nodes), _tiled(shown, keys, size)
+    out = shown.join(nodes, ["family", "key"]).filter("seen is null or not arrays_overlap(earlier, seen)")
     out = out.select(source, F.col("ekind").alias("kind"), "nodes").select("source_node_id", "kind", F.explode("nodes").alias("target_node_id"))
     if not many.isEmpty():
         out = out.unionByName(rows.join(many, ["family", "key"]).select(source, F.col("ekind").alias("kind"), F.col("node_id").alias("target_node_id")).distinct())

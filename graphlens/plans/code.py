@@ -66,8 +66,9 @@ def _unique_keys(spark, sf):
 
 def _refs(spark, sf):
     """Order lines as references to parts, by the keys of their languages."""
-    # Only what a reference needs is shuffled.
-    line = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("named"), F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).alias("container"))
+    # Only what a reference needs is shuffled, and no line outside of any definition that is
+    # not an import: such a call makes no edge.
+    line = read(spark, sf, "lineitem").filter("l_linestatus = 'F' and l_linenumber is not null or l_returnflag = 'R'").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("named"), F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).alias("container"))
     d = _defs(spark, sf)
     key = F.when(F.col("language") == "typescript", F.concat(T.js_module("path"), F.lit("#"), "name")).when(F.col("language") == "go", F.concat(T.directory("path"), F.lit("#"), "name")).otherwise(F.col("qname"))
     target = d.select(F.regexp_replace("node_id", "^part:", "").cast("long").alias("pk"), "language", key.alias("qname"), "name")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from graphlens.operators import resolve
@@ -63,3 +64,33 @@ def test_nothing_is_shuffled_after_the_join(spark):
     got = resolve.edges(refs, symbols)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == got.distinct().count() == 60_000
+
+
+@pytest.mark.parametrize("bytes_", [0, 1 << 20])
+def test_edges_in_tiles(spark, monkeypatch, bytes_):
+    """Many small tiles, or definitions that are too large to be broadcast."""
+    monkeypatch.setattr(resolve, "TILE_BYTES", 200)
+    monkeypatch.setattr(resolve, "BROADCAST_BYTES", bytes_)
+    refs, symbols = tables(spark, seed=6)
+    got = resolve.edges(spark.createDataFrame(refs, REFS), spark.createDataFrame(symbols, "family string, key string, node_id string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("RepartitionByExpression" in plan) == (bytes_ > 0)
+    assert sorted((r.source_node_id, r.kind, r.target_node_id) for r in got.collect()) == plain(refs, symbols)
+
+
+def test_packed_strings(spark):
+    rows = [("a", "", "x y"), ("", " 3 ", "é\u20ac 1"), ("1 2", "\0", ""), ("😀", "a", "b")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = df.select(resolve._packed("a", "b", "c").alias("p")).select(*resolve._unpacked("p", "a", "b", "c"))
+    assert [tuple(r) for r in got.collect()] == rows
+
+
+def test_edges_take_little_disk(spark, tmp_path):
+    """80 000 sources of 66 bytes, more than one file's dictionary holds: none of the files
+    may fall back to plain strings, which take some bytes an edge in place of some bits."""
+    refs = spark.range(80_000).selectExpr("'f' path", "'python' language", "unhex(sha2(string(id), 256)) content_hash", "'call' kind", "'get' name", "cast(null as string) qname", "'1' container")
+    symbols = spark.range(10).selectExpr("'python' family", "'get' key", "concat('node:', string(id)) node_id")
+    resolve.edges(refs, symbols).write.parquet(f"{tmp_path}/edges")
+    assert spark.read.parquet(f"{tmp_path}/edges").count() == 800_000
+    groups = [m.row_group(i) for f in (tmp_path / "edges").glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert not [c.path_in_schema for g in groups for c in map(g.column, range(g.num_columns)) if "PLAIN" in c.encodings]
